@@ -1,4 +1,8 @@
-"""Text cleaning as JVM-side Column expressions; nothing here calls Python per row."""
+"""Text cleaning as JVM-side expressions; nothing here calls Python per row.
+
+Every function takes a SQL expression, usually a column name, and gives a Column.  The
+``sql_*`` forms give SQL text, so nested steps reach the JVM as one expression.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,9 @@ from ledgerlens import contract as C
 WHITESPACE = (
     r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 BOM = "\ufeff"
+# Already clean and without unusual characters: printable ASCII or Latin letters, words
+# split by single spaces.  Nearly every cell matches, and the class is cheap to test.
+_PLAIN = r"^(?:[!-~\xa1-\u024f]++(?: [!-~\xa1-\u024f]++)*+)?+\z"
 _CASED = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]"
 _WORD_START = f"(?<!{_CASED})(?={_CASED})"
 _HANGUL_FIRST, _HANGUL_LAST = "\uac00", "\ud7a3"
@@ -23,160 +30,182 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @lru_cache(maxsize=1)
-def _unicode_tables():
-    """Accent tables, derived from the Unicode database rather than listed."""
+def _unicode_tables() -> tuple[str, str, str, str]:
+    """Accent tables, derived from the Unicode database rather than listed.
+
+    Characters with one base and their bases, the marks to delete, a SQL map of
+    the characters with several bases, and a regex class of those.
+    """
     one_to_one, one_to_many, marks = {}, {}, []
     for cp in range(0x110000):
         if 0xD800 <= cp <= 0xDFFF or 0xAC00 <= cp <= 0xD7A3:
             continue
         ch = chr(cp)
         if unicodedata.category(ch) == "Mn":
-            marks.append(cp)
+            marks.append(ch)
             continue
         base = "".join(
             x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn")
         if base != ch:
             (one_to_one if len(base) == 1 else one_to_many)[ch] = base
-    return one_to_one, one_to_many, _char_class(marks)
-
-
-def _char_class(code_points: list[int]) -> str:
-    parts, start, prev = [], None, None
-    for cp in [*code_points, None]:
-        if prev is not None and cp == prev + 1:
-            prev = cp
-            continue
-        if start is not None:
-            parts.append(f"\\x{{{start:x}}}-\\x{{{prev:x}}}")
-        start = prev = cp
-    return "[" + "".join(parts) + "]"
+    table = "map(" + ", ".join(quoted(s) for pair in one_to_many.items() for s in pair) + ")"
+    # translate deletes characters without a counterpart, here the marks.
+    return (quoted("".join(one_to_one) + "".join(marks)), quoted("".join(one_to_one.values())),
+            table, "[" + "".join(one_to_many) + f"{_HANGUL_FIRST}-{_HANGUL_LAST}]")
 
 
 @lru_cache(maxsize=1)
 def _digit_table() -> tuple[str, str]:
     digits = [chr(cp) for cp in range(0x80, 0x110000) if unicodedata.category(chr(cp)) == "Nd"]
-    return "".join(digits), "".join(str(unicodedata.decimal(d)) for d in digits)
+    return quoted("".join(digits)), quoted("".join(str(unicodedata.decimal(d)) for d in digits))
+
+
+def outlined(x: str, step: str) -> str:
+    """``step``, an expression over ``v``, on ``x`` but kept out of the generated code.
+
+    Rare branches written inline make the generated method too long for the JIT, which
+    slows the common path several times over.
+    """
+    return f"element_at(transform(array({x}), v -> {step}), 1)"
+
+
+def sql_clean_cell(c: str) -> str:
+    x = f"coalesce({c}, '')"
+    squeeze = f"trim(regexp_replace(replace(v, '{BOM}', ''), {quoted(WHITESPACE)}, ' '))"
+    return f"CASE WHEN {x} RLIKE {quoted(_PLAIN)} THEN {x} ELSE {outlined(x, squeeze)} END"
 
 
-def clean_cell(c: Column | str) -> Column:
+def clean_cell(c: str) -> Column:
     """Null becomes '', the BOM goes, whitespace is trimmed and squeezed."""
-    no_bom = F.replace(F.coalesce(col(c), F.lit("")), F.lit(BOM), F.lit(""))
-    return F.trim(F.regexp_replace(no_bom, WHITESPACE, " "))
+    return F.expr(sql_clean_cell(c))
 
 
-def _jamo(first: int, index: Column, count: int) -> Column:
+def _cleaned(c: str, cleaned: bool) -> str:
+    return c if cleaned else sql_clean_cell(c)
+
+
+def _non_ascii(x: str) -> str:
+    return f"octet_length({x}) > length({x})"
+
+
+def _jamo(first: int, index: str, count: int) -> str:
     letters = "".join(chr(first + i) for i in range(count))
-    return F.substring(F.lit(letters), index + 1, F.lit(1))
+    return f"substring('{letters}', cast({index} + 1 AS int), 1)"
 
 
-def _decompose_char(ch: Column, table: Column) -> Column:
-    s = F.ascii(ch) - ord(_HANGUL_FIRST)
-    tail = s % 28
-    syllable = F.concat(
-        _jamo(0x1100, F.floor(s / 588).cast("int"), 19),
-        _jamo(0x1161, F.floor((s % 588) / 28).cast("int"), 21),
-        F.when(tail > 0, _jamo(0x11A8, tail - 1, 27)).otherwise(F.lit("")))
-    hangul = ch.between(F.lit(_HANGUL_FIRST), F.lit(_HANGUL_LAST))
-    return F.when(hangul, syllable).otherwise(F.coalesce(F.try_element_at(table, ch), ch))
+def sql_strip_accents(x: str) -> str:
+    accented, plain_letters, table, special = _unicode_tables()
+    s = f"(ascii(ch) - {ord(_HANGUL_FIRST)})"
+    syllable = (
+        f"concat({_jamo(0x1100, f'{s} div 588', 19)}, {_jamo(0x1161, f'{s} % 588 div 28', 21)}, "
+        f"CASE WHEN {s} % 28 > 0 THEN {_jamo(0x11A8, f'{s} % 28 - 1', 27)} ELSE '' END)")
+    walked = (
+        f"array_join(transform(regexp_extract_all(v, '(?s).', 0), ch -> CASE WHEN ch BETWEEN "
+        f"'{_HANGUL_FIRST}' AND '{_HANGUL_LAST}' THEN {syllable} "
+        f"ELSE coalesce(try_element_at({table}, ch), ch) END), '')")
+    plain = (f"translate(CASE WHEN v RLIKE {quoted(special)} THEN {walked} ELSE v END, "
+             f"{accented}, {plain_letters})")
+    return f"CASE WHEN {_non_ascii(x)} THEN {outlined(x, plain)} ELSE {x} END"
 
 
-def strip_accents(c: Column | str) -> Column:
+def strip_accents(c: str) -> Column:
     """Canonical decomposition without non-spacing marks.
 
     ASCII text takes none of it, most other text one translate; only text with
     letters that decompose into several bases is walked character by character.
     """
-    x = col(c)
-    single, several, marks = _unicode_tables()
-    table = F.create_map(*[F.lit(s) for pair in several.items() for s in pair])
-    special = "[" + "".join(several) + f"{_HANGUL_FIRST}-{_HANGUL_LAST}]"
-    walked = F.array_join(
-        F.transform(
-            F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)),
-            lambda ch: _decompose_char(ch, table)),
-        "")
-    expanded = F.when(x.rlike(special), walked).otherwise(x)
-    plain = F.regexp_replace(
-        F.translate(expanded, "".join(single), "".join(single.values())), marks, "")
-    return F.when(x.rlike(r"[^\x00-\x7f]"), plain).otherwise(x)
+    return F.expr(sql_strip_accents(c))
 
 
-def normalize_ascii(c: Column | str) -> Column:
-    return strip_accents(clean_cell(c))
+def normalize_ascii(c: str, *, cleaned: bool = False) -> Column:
+    return F.expr(sql_strip_accents(_cleaned(c, cleaned)))
 
 
-def slugify(c: Column | str) -> Column:
-    slug = F.trim(
-        F.regexp_replace(F.lower(normalize_ascii(c)), "[^a-z0-9]+", "_"), F.lit("_"))
-    return F.coalesce(F.nullif(slug, F.lit("")), F.lit(C.NO_SLUG))
+def sql_slugify(c: str, *, cleaned: bool = False) -> str:
+    plain = sql_strip_accents(_cleaned(c, cleaned))
+    slug = f"trim(BOTH '_' FROM regexp_replace(lower({plain}), '[^a-z0-9]+', '_'))"
+    return f"coalesce(nullif({slug}, ''), '{C.NO_SLUG}')"
 
 
-def category_key(c: Column | str) -> Column:
-    key = F.upper(normalize_ascii(c))
+def slugify(c: str, *, cleaned: bool = False) -> Column:
+    return F.expr(sql_slugify(c, cleaned=cleaned))
+
+
+def category_key(c: str, *, cleaned: bool = False) -> Column:
+    key = f"upper({sql_strip_accents(_cleaned(c, cleaned))})"
     for spelling, standard in C.CATEGORY_SPELLINGS:
-        key = F.replace(key, F.lit(spelling), F.lit(standard))
-    key = F.trim(F.regexp_replace(key, WHITESPACE, " "))
-    return F.trim(F.regexp_replace(key, C.CATEGORY_SUFFIX + r"\z", ""))
+        key = f"replace({key}, '{spelling}', '{standard}')"
+    # Dropping marks can leave spaces at the ends or next to each other.
+    key = f"trim(regexp_replace({key}, ' {{2,}}', ' '))"
+    return F.expr(f"trim(regexp_replace({key}, {quoted(C.CATEGORY_SUFFIX + chr(92) + 'z')}, ''))")
 
 
-def sentence_case(c: Column | str) -> Column:
-    x = F.lower(col(c))
-    return F.concat(F.initcap(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))
+def _capital(x: str) -> str:
+    """Title case of the first character; initcap is slow, so it is left to non-ASCII."""
+    first = f"left({x}, 1)"
+    return f"CASE WHEN {_non_ascii(first)} THEN initcap({first}) ELSE upper({first}) END"
 
 
-def is_upper(c: Column | str) -> Column:
-    x = col(c)
-    return x.rlike(r"\p{IsUppercase}") & ~x.rlike(r"[\p{IsLowercase}\p{Lt}]")
+def sentence_case(c: str) -> Column:
+    return F.expr(f"concat({_capital(f'lower({c})')}, substr(lower({c}), 2))")
 
 
-def has_lower(c: Column | str) -> Column:
-    return col(c).rlike(r"\p{IsLowercase}")
+def sql_is_upper(x: str) -> str:
+    return (rf"({x} RLIKE r'\p{{IsUppercase}}' AND "
+            rf"NOT {x} RLIKE r'[\p{{IsLowercase}}\p{{Lt}}]')")
 
 
-def title_case(c: Column | str) -> Column:
-    """Capital after every non-letter, so O'Higgins and 2Nd, unlike initcap."""
+def is_upper(c: str) -> Column:
+    return F.expr(sql_is_upper(c))
 
-    def capitalised(word: Column) -> Column:
-        rest = F.substring(word, F.lit(2), F.length(word))
-        # Lower-cased behind a letter, since a sigma's form depends on what precedes it.
-        lowered = F.lower(F.concat(F.lit("a"), rest))
-        return F.concat(
-            F.initcap(F.substring(word, 1, 1)),
-            F.substring(lowered, F.lit(2), F.length(lowered)))
 
-    return F.array_join(F.transform(F.split(col(c), _WORD_START), capitalised), "")
+def has_lower(c: str) -> Column:
+    return F.expr(rf"{c} RLIKE r'\p{{IsLowercase}}'")
 
 
-def display_person_name(c: Column | str) -> Column:
-    name = clean_cell(c)
-    name = F.when(is_upper(name), title_case(name)).otherwise(name)
+def sql_title_case(x: str) -> str:
+    # The rest is lowered behind a letter, as a sigma's form depends on what precedes it.
+    word = f"concat({_capital('w')}, substr(lower(concat('a', substr(w, 2))), 2))"
+    return f"array_join(transform(split({x}, {quoted(_WORD_START)}), w -> {word}), '')"
+
+
+def title_case(c: str) -> Column:
+    """Capital after every non-letter, so O'Higgins and 2Nd, unlike initcap."""
+    return F.expr(sql_title_case(c))
+
+
+def display_person_name(c: str, *, cleaned: bool = False) -> Column:
+    """Title case if all upper, particles in lower case."""
+    name = f"CASE WHEN {sql_is_upper('v')} THEN {sql_title_case('v')} ELSE v END"
     for particle in C.NAME_PARTICLES:
-        name = F.replace(name, F.lit(particle), F.lit(particle.lower()))
-    return name
+        name = f"replace({name}, '{particle}', '{particle.lower()}')"
+    return F.expr(outlined(_cleaned(c, cleaned), name))
 
 
-def full_name(*parts: Column | str) -> Column:
+def full_name(*parts: str) -> Column:
     """Non-empty parts, each trimmed, joined by one space."""
-    kept = [
-        F.when(col(p) != "", F.regexp_replace(
-            col(p), f"^{WHITESPACE}|{WHITESPACE}\\z", "")) for p in parts]
-    return F.concat_ws(" ", *kept)
+    edges = quoted(f"^{WHITESPACE}|{WHITESPACE}\\z")
+    kept = [f"CASE WHEN {p} <> '' THEN regexp_replace({p}, {edges}, '') END" for p in parts]
+    return F.expr(f"concat_ws(' ', {', '.join(kept)})")
 
 
-def parse_amount(c: Column | str) -> Column:
+def parse_amount(c: str, *, cleaned: bool = False) -> Column:
     """Whole numbers only; anything else, or beyond a bigint, is null."""
-    x = clean_cell(c)
+    x = _cleaned(c, cleaned)
     foreign, ascii_digits = _digit_table()
-    digits = F.when(x.rlike(r"[^\x00-\x7f]"), F.translate(x, foreign, ascii_digits)).otherwise(x)
-    return F.when(x.rlike(C.AMOUNT_PATTERN), digits.try_cast("bigint"))
-
-
-def is_money_text(c: Column | str) -> Column:
-    return clean_cell(c).rlike(C.MONEY_TEXT_PATTERN)
+    digits = (f"CASE WHEN {_non_ascii(x)} THEN "
+              f"{outlined(x, f'translate(v, {foreign}, {ascii_digits})')} ELSE {x} END")
+    return F.expr(
+        f"CASE WHEN {x} RLIKE {quoted(C.AMOUNT_PATTERN)} THEN try_cast({digits} AS bigint) END")
 
 
-def contains_ci(c: Column | str, text: str) -> Column:
+def contains_ci(c: str, text: str) -> Column:
     """Case-insensitive contains; % and _ in the text stay wildcards, \\ escapes."""
     pattern, i = [], 0
     while i < len(text):
@@ -189,17 +218,16 @@ def contains_ci(c: Column | str, text: str) -> Column:
         step = 2 if ch == "\\" else 1
         pattern.append(text[i:i + step])
         i += step
-    return col(c).ilike("%" + "".join(pattern) + "%")
+    return F.col(c).ilike("%" + "".join(pattern) + "%")
 
 
-def manifest_path(c: Column | str, root: str = "") -> Column:
+def manifest_path(c: str, root: str = "") -> Column:
     """Path as written in manifests: forward slashes, relative to ``root`` if under it."""
-    path = F.regexp_replace(F.regexp_replace(col(c), r"\\", "/"), r"^file:/+", "/")
-    path = F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), r"(?<=.)/\z", "")
-    path = F.regexp_replace(F.regexp_replace(path, r"(?<=/)(\./)+", ""), r"^(\./)+", "")
+    path = rf"regexp_replace(regexp_replace({c}, r'\\', '/'), '^file:/+', '/')"
+    path = rf"regexp_replace(regexp_replace({path}, '/{{2,}}', '/'), r'(?<=.)/\z', '')"
+    path = rf"regexp_replace(regexp_replace({path}, r'(?<=/)(\./)+', ''), r'^(\./)+', '')"
     if root:
         prefix = root.rstrip("/") + "/"
-        path = F.when(
-            F.startswith(path, F.lit(prefix)), F.substring(path, F.lit(len(prefix) + 1), F.length(path))
-        ).otherwise(path)
-    return path
+        path = (f"CASE WHEN startswith({path}, {quoted(prefix)}) "
+                f"THEN substr({path}, {len(prefix) + 1}) ELSE {path} END")
+    return F.expr(path)

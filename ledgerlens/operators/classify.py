@@ -37,7 +37,11 @@ def alias_table(spark: SparkSession) -> DataFrame:
 
 
 def with_category(
-    df: DataFrame, raw: str = "gastos_operacionales", aliases: DataFrame | None = None
+    df: DataFrame,
+    raw: str = "gastos_operacionales",
+    aliases: DataFrame | None = None,
+    *,
+    cleaned: bool = False,
 ) -> DataFrame:
     """Add categoria_id, categoria_nombre and categoria_key for a raw category cell.
 
@@ -45,37 +49,47 @@ def with_category(
     list is left to the size check of the optimizer.
     """
     lookup = F.broadcast(alias_table(df.sparkSession)) if aliases is None else aliases
-    keyed = df.withColumn("categoria_key", X.category_key(raw))
-    joined = keyed.join(lookup, F.col("categoria_key") == F.col("alias_key"), "left")
-    blank = F.col("categoria_key") == ""
+    keyed = df.withColumn("categoria_key", X.category_key(raw, cleaned=cleaned))
+    joined = keyed.join(lookup, F.expr("categoria_key = alias_key"), "left")
+    slug = X.sql_slugify("categoria_key", cleaned=True)
     return joined.withColumns({
-        "categoria_id": F.when(blank, C.NO_CATEGORY[0]).otherwise(
-            F.coalesce("alias_id", X.slugify("categoria_key"))),
-        "categoria_nombre": F.when(blank, C.NO_CATEGORY[1]).otherwise(
-            F.coalesce("alias_name", X.sentence_case("categoria_key"))),
+        "categoria_id": F.expr(
+            f"CASE WHEN categoria_key = '' THEN '{C.NO_CATEGORY[0]}' "
+            f"ELSE coalesce(alias_id, {slug}) END"),
+        "categoria_nombre": F.when(
+            F.expr("categoria_key = ''"), C.NO_CATEGORY[1]
+        ).otherwise(F.coalesce("alias_name", X.sentence_case("categoria_key"))),
     }).drop("alias_key", "alias_id", "alias_name")
 
 
 def entity_id(
-    unit: Column | str,
-    name: Column | str,
+    unit: str,
+    name: str,
     *,
     unit_prefix: str = C.UNIT_ID_PREFIX,
     name_prefix: str = C.NAME_ID_PREFIX,
 ) -> Column:
-    cleaned = X.clean_cell(unit)
-    return F.when(cleaned != "", F.concat(F.lit(unit_prefix), cleaned)).otherwise(
-        F.concat(F.lit(name_prefix), X.slugify(name)))
+    """Unit code if there is one, else the slug of the name; both are cleaned cells."""
+    return F.expr(
+        f"CASE WHEN {unit} <> '' THEN concat('{unit_prefix}', {unit}) "
+        f"ELSE concat('{name_prefix}', {X.sql_slugify(name, cleaned=True)}) END")
 
 
-def entity_id_source(unit: Column | str) -> Column:
-    return F.when(X.clean_cell(unit) != "", C.ID_FROM_UNIT).otherwise(C.ID_FROM_NAME)
+def entity_id_source(unit: str) -> Column:
+    return F.expr(
+        f"CASE WHEN {unit} <> '' THEN '{C.ID_FROM_UNIT}' ELSE '{C.ID_FROM_NAME}' END")
 
 
 def with_entity(
-    df: DataFrame, unit: str = "unidad_ejecutora", name: str = "nombre_completo", **prefixes
+    df: DataFrame,
+    unit: str = "unidad_ejecutora",
+    name: str = "nombre_completo",
+    *,
+    cleaned: bool = False,
+    **prefixes,
 ) -> DataFrame:
-    return df.withColumns({
+    rows = df if cleaned else clean_cells(df, [unit, name])
+    return rows.withColumns({
         "parlamentario_id": entity_id(unit, name, **prefixes),
         "parlamentario_id_source": entity_id_source(unit),
     })
@@ -89,13 +103,11 @@ def first_rows(
     Blank ids are left out before the shuffle and the minimum is taken map-side, so
     neither blank nor hot ids reach one task as rows.
     """
-    first = (
-        df.where(F.col(id_col) != "")
-        .groupBy(id_col)
-        .agg(F.min(order_key(order_by)).alias("__first")))
+    first = df.where(f"{id_col} <> ''").groupBy(id_col).agg(
+        F.min(order_key(order_by)).alias("__first"))
     if len(order_by) == 1:
-        return first.select(F.col("__first").alias(f"__first_{order_by[0]}"))
-    return first.select(*[F.col(f"__first.{c}").alias(f"__first_{c}") for c in order_by])
+        return first.selectExpr(f"__first AS __first_{order_by[0]}")
+    return first.selectExpr(*[f"__first.{c} AS __first_{c}" for c in order_by])
 
 
 def mark_duplicates(
@@ -111,13 +123,10 @@ def mark_duplicates(
     join is on that unique key and not on the id, so repeated ids cannot skew it.
     """
     firsts = first_rows(df, order_by=order_by, id_col=id_col).withColumn("__is_first", F.lit(True))
-    same = F.lit(True)
-    for c in order_by:
-        same = same & F.col(c).eqNullSafe(F.col(f"__first_{c}"))
+    same = F.expr(" AND ".join(f"{c} <=> __first_{c}" for c in order_by))
     joined = df.join(firsts, same, "left")
-    return joined.withColumn(
-        flag, (F.col(id_col) != "") & F.col("__is_first").isNull()
-    ).drop("__is_first", *[f"__first_{c}" for c in order_by])
+    return joined.withColumn(flag, F.expr(f"{id_col} <> '' AND __is_first IS NULL")).drop(
+        "__is_first", *[f"__first_{c}" for c in order_by])
 
 
 def id_groups(
@@ -138,20 +147,21 @@ def id_groups(
 
 def row_status(
     *,
-    duplicate: Column | str = "is_duplicate",
-    raw_category: Column | str = "gastos_operacionales",
-    key: Column | str = "categoria_key",
-    amount: Column | str = "monto",
+    duplicate: str = "is_duplicate",
+    raw_category: str = "gastos_operacionales",
+    key: str = "categoria_key",
+    amount: str = "monto",
 ) -> Column:
-    raw, value = X.col(raw_category), X.col(amount)
-    return (
-        F.when(X.col(duplicate), C.STATUS_DUPLICATE)
-        .when(X.clean_cell(raw) == "", C.STATUS_NO_CATEGORY)
-        .when(F.startswith(X.col(key), F.lit(C.NOTE_PREFIX)), C.STATUS_NOTE)
-        .when(value.isNull() & X.is_money_text(raw), C.STATUS_AMOUNT_IN_TEXT)
-        .when(value.isNull(), C.STATUS_NO_AMOUNT)
-        .when(value < 0, C.STATUS_ADJUSTMENT)
-        .otherwise(C.STATUS_OK))
+    """Status by precedence, from a cleaned category cell, its key and the parsed amount."""
+    return F.expr(f"""CASE
+        WHEN {duplicate} THEN '{C.STATUS_DUPLICATE}'
+        WHEN {raw_category} = '' THEN '{C.STATUS_NO_CATEGORY}'
+        WHEN startswith({key}, '{C.NOTE_PREFIX}') THEN '{C.STATUS_NOTE}'
+        WHEN {amount} IS NULL AND {raw_category} RLIKE {X.quoted(C.MONEY_TEXT_PATTERN)}
+            THEN '{C.STATUS_AMOUNT_IN_TEXT}'
+        WHEN {amount} IS NULL THEN '{C.STATUS_NO_AMOUNT}'
+        WHEN {amount} < 0 THEN '{C.STATUS_ADJUSTMENT}'
+        ELSE '{C.STATUS_OK}' END""")
 
 
 def classify_rows(
@@ -159,40 +169,49 @@ def classify_rows(
     *,
     order_by: Sequence[str],
     aliases: DataFrame | None = None,
+    cleaned: bool = False,
 ) -> DataFrame:
     """Clean rows without the display name: every column that needs only the row itself,
     plus the duplicate flag.  The columns of ``order_by`` are kept."""
-    rows = mark_duplicates(clean_cells(expenses), order_by=order_by)
-    rows = with_entity(with_category(rows, aliases=aliases))
-    rows = rows.withColumns({"monto_raw": F.col("monto"), "monto": X.parse_amount("monto")})
-    rows = rows.withColumn("row_status", row_status())
-    ok = F.col("row_status") == C.STATUS_OK
+    rows = expenses if cleaned else clean_cells(expenses)
+    rows = mark_duplicates(rows, order_by=order_by)
+    rows = with_entity(with_category(rows, aliases=aliases, cleaned=True), cleaned=True)
     rows = rows.withColumns({
-        "include_in_ranking": ok,
-        "exclusion_reason": F.when(ok, "").otherwise(F.col("row_status")),
-        "nombre_completo_raw": F.col("nombre_completo"),
-        "categoria_raw": F.col("gastos_operacionales"),
-    })
-    produced = [c for c in C.CLEAN_COLUMNS if c in rows.columns and c not in order_by]
-    return rows.select(*produced, *order_by)
+        "monto_raw": F.col("monto"), "monto": X.parse_amount("monto", cleaned=True)})
+    rows = rows.withColumn("row_status", row_status())
+    derived = {
+        "include_in_ranking": f"row_status = '{C.STATUS_OK}'",
+        "exclusion_reason": f"CASE WHEN row_status = '{C.STATUS_OK}' THEN '' ELSE row_status END",
+        "nombre_completo_raw": "nombre_completo",
+        "categoria_raw": "gastos_operacionales",
+    }
+    have = set(rows.columns)
+    produced = [c for c in C.CLEAN_COLUMNS if c not in order_by and (c in have or c in derived)]
+    return rows.selectExpr(
+        *[f"{derived[c]} AS {c}" if c in derived else c for c in produced], *order_by)
 
 
 def name_catalogue(
     *tables: DataFrame, unit: str = "unidad_ejecutora", name: str = "nombre_completo"
 ) -> DataFrame:
-    """One display name per entity over all tables: mixed case first, then frequency, then text."""
+    """One display name per entity over all tables: mixed case first, then frequency, then text.
+
+    Cells are counted as they come, then cleaned: rows are many, spellings are few.
+    """
     names = None
     for table in tables:
-        part = table.select(
-            entity_id(unit, name).alias("parlamentario_id"), X.clean_cell(name).alias("__name"))
+        part = table.groupBy(F.col(unit).alias("__unit"), F.col(name).alias("__name")).agg(
+            F.count(F.lit(1)).alias("__n"))
         names = part if names is None else names.unionByName(part)
-    counted = names.where("__name <> ''").groupBy("parlamentario_id", "__name").agg(
-        F.count(F.lit(1)).alias("__n"))
-    score = F.struct(
-        X.has_lower("__name"), ~X.is_upper("__name"), F.col("__n"), F.col("__name"))
+    spelled = clean_cells(names, ["__unit", "__name"])
+    counted = spelled.where("__name <> ''").groupBy(
+        entity_id("__unit", "__name").alias("parlamentario_id"), "__name"
+    ).agg(F.sum("__n").alias("__n"))
+    score = F.struct(X.has_lower("__name"), ~X.is_upper("__name"), "__n", "__name")
     chosen = counted.groupBy("parlamentario_id").agg(F.max_by("__name", score).alias("__name"))
     return chosen.select(
-        "parlamentario_id", X.display_person_name("__name").alias("parlamentario_nombre"))
+        "parlamentario_id",
+        X.display_person_name("__name", cleaned=True).alias("parlamentario_nombre"))
 
 
 def with_entity_name(
@@ -203,6 +222,6 @@ def with_entity_name(
     No broadcast hint: the catalogue grows with the entities.  The optimizer
     broadcasts it when its measured size allows, else splits skewed entities.
     """
-    fallback = X.display_person_name(raw_name) if raw_name else F.lit("")
+    fallback = X.display_person_name(raw_name, cleaned=True) if raw_name else F.lit("")
     joined = df.drop("parlamentario_nombre").join(names, "parlamentario_id", "left")
     return joined.withColumn("parlamentario_nombre", F.coalesce("parlamentario_nombre", fallback))

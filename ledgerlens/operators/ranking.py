@@ -24,22 +24,23 @@ def monthly_aggregate(classified: DataFrame, *, order_by: Sequence[str]) -> Data
     The first step also groups by the year and month cells, so all rows are combined
     by plain sums and only the few results are compared by order key.
     """
-    ok = F.col("row_status") == C.STATUS_OK
-    adjusted = F.col("row_status") == C.STATUS_ADJUSTMENT
-    no_amount = F.col("row_status").isin(C.STATUS_NO_AMOUNT, C.STATUS_AMOUNT_IN_TEXT)
+    sums = {
+        "total_monto": f"coalesce(sum(monto) FILTER (WHERE row_status = '{C.STATUS_OK}'), 0)",
+        "registros": f"count_if(row_status = '{C.STATUS_OK}')",
+        "total_ajustes":
+            f"coalesce(sum(monto) FILTER (WHERE row_status = '{C.STATUS_ADJUSTMENT}'), 0)",
+        "registros_ajuste": f"count_if(row_status = '{C.STATUS_ADJUSTMENT}')",
+        "registros_sin_monto":
+            f"count_if(row_status IN ('{C.STATUS_NO_AMOUNT}', '{C.STATUS_AMOUNT_IN_TEXT}'))",
+        "registros_excluidos": f"count_if(row_status <> '{C.STATUS_OK}')",
+    }
     partial = classified.groupBy(*GRAIN, "ano", "mes").agg(
-        F.coalesce(F.sum(F.when(ok, F.col("monto"))), F.lit(0)).alias("total_monto"),
-        F.count_if(ok).alias("registros"),
-        F.coalesce(F.sum(F.when(adjusted, F.col("monto"))), F.lit(0)).alias("total_ajustes"),
-        F.count_if(adjusted).alias("registros_ajuste"),
-        F.count_if(no_amount).alias("registros_sin_monto"),
-        F.count_if(~ok).alias("registros_excluidos"),
+        *[F.expr(sums[m]).alias(m) for m in MEASURES],
         F.max(order_key(order_by)).alias("__last"))
     merged = partial.groupBy(*GRAIN).agg(
-        F.max_by(F.struct("ano", "mes"), F.col("__last")).alias("__when"),
+        F.expr("max_by(struct(ano, mes), __last)").alias("__when"),
         *[F.sum(m).alias(m) for m in MEASURES])
-    return merged.select(
-        *GRAIN, F.col("__when.ano").alias("ano"), F.col("__when.mes").alias("mes"), *MEASURES)
+    return merged.selectExpr(*GRAIN, "__when.ano AS ano", "__when.mes AS mes", *MEASURES)
 
 
 def category_variants(classified: DataFrame, *, order_by: Sequence[str]) -> DataFrame:
@@ -48,33 +49,29 @@ def category_variants(classified: DataFrame, *, order_by: Sequence[str]) -> Data
     The category is a function of the raw cell, so this one aggregate over the rows
     feeds the whole catalogue.
     """
-    included = F.col("include_in_ranking")
     return classified.groupBy(
         "categoria_id", "categoria_nombre", "categoria_key", "categoria_raw"
     ).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(included).alias("included_rows"),
-        F.coalesce(F.sum(F.when(included, F.col("monto"))), F.lit(0)).alias("total_monto"),
+        F.expr("count(*) AS rows"),
+        F.expr("count_if(include_in_ranking) AS included_rows"),
+        F.expr("coalesce(sum(monto) FILTER (WHERE include_in_ranking), 0) AS total_monto"),
         F.min(order_key(order_by)).alias("first_seen"))
 
 
 def category_stats(variants: DataFrame) -> DataFrame:
     """Counts per category; name and key are those of its first row."""
-    first = F.min_by(F.struct("categoria_nombre", "categoria_key"), F.col("first_seen"))
     stats = variants.groupBy("categoria_id").agg(
-        first.alias("__first"),
-        F.sum("rows").alias("rows"),
-        F.sum("included_rows").alias("included_rows"),
-        F.sum("total_monto").alias("total_monto"),
-        F.count(F.lit(1)).alias("raw_variant_count"),
-        F.sum(F.octet_length("categoria_raw").cast("bigint")).alias("raw_variant_bytes"))
-    return stats.select(
-        "categoria_id",
-        F.col("__first.categoria_nombre").alias("categoria_nombre"),
-        F.col("__first.categoria_key").alias("categoria_key"),
-        "rows", "included_rows",
-        (F.col("rows") - F.col("included_rows")).alias("excluded_rows"),
-        "total_monto", "raw_variant_count", "raw_variant_bytes")
+        F.expr("min_by(struct(categoria_nombre, categoria_key), first_seen) AS __first"),
+        F.expr("sum(rows) AS rows"),
+        F.expr("sum(included_rows) AS included_rows"),
+        F.expr("sum(total_monto) AS total_monto"),
+        F.expr("count(*) AS raw_variant_count"),
+        F.expr("sum(cast(octet_length(categoria_raw) AS bigint)) AS raw_variant_bytes"))
+    return stats.selectExpr(
+        "categoria_id", "__first.categoria_nombre AS categoria_nombre",
+        "__first.categoria_key AS categoria_key", "rows", "included_rows",
+        "rows - included_rows AS excluded_rows", "total_monto", "raw_variant_count",
+        "raw_variant_bytes")
 
 
 def category_catalogue(

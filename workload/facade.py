@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def year_month(c: str):
+    """YYYY-MM of a date column, from its fields; much cheaper than date formatting."""
+    return F.concat_ws(
+        "-", F.year(c).cast("string"), F.lpad(F.month(c).cast("string"), 2, "0"))
+
+
 def expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat expense rows from line items, their part types and supplier names."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
@@ -32,46 +38,38 @@ def expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem").join(
         part, F.col("l_partkey") == F.col("p_partkey"), "left").join(
         supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    line, q = F.col("l_linenumber"), F.col("l_quantity")
-    kind = F.coalesce("p_type", F.lit(""))
-    name = F.coalesce("s_name", F.lit(""))
-    price = F.floor("l_extendedprice").cast("string")
-    category = (
-        F.when(q == 1, F.concat(F.lit("NOTA: "), kind))
-        .when(q == 2, "$ 1.379.565")
-        .when(q == 3, "")
-        .when(line == 2, F.concat(kind, F.lit(" SENADORES")))
-        .when(line == 3, F.lower(kind))
-        .when(line == 4, F.replace(kind, F.lit("O"), F.lit("Ó")))
-        .when((line == 6) & (kind == "SMALL"), "TRASLACIÓN SENADORES")
-        .when((line == 6) & (kind == "MEDIUM"), "Arriendo  oficinas")
-        .when((line == 6) & (kind == "LARGE"), "DISEÑO Y DESARROLLO PAG.WEB")
-        .otherwise(kind))
-    amount = (
-        F.when(q.isin(1.0, 2.0, 4.0), "")
-        .when(q == 5, "0")
-        .when((F.col("l_returnflag") == "R") & (line == 5), F.concat(F.lit("-"), price))
-        .otherwise(price))
-    key = F.col("l_orderkey").cast("string")
-    file = (F.col("l_orderkey") % 50).cast("string")
-    return x.select(
+    kind, name = "coalesce(p_type, '')", "coalesce(s_name, '')"
+    price, file = "cast(floor(l_extendedprice) AS string)", "cast(l_orderkey % 50 AS string)"
+    return x.selectExpr(
         *ORDER,
-        F.when(F.col("l_orderkey") % 97 == 0, "").otherwise(
-            F.concat(key, F.lit("-"), line.cast("string"))).alias("source_id"),
-        F.lit("lineitem").alias("fuente"),
-        F.lit("expenses").alias("dataset"),
-        F.year("l_shipdate").cast("string").alias("ano"),
-        F.month("l_shipdate").cast("string").alias("mes"),
-        F.date_format("l_shipdate", "yyyy-MM").alias("periodo"),
-        F.when(F.col("l_suppkey") % 10 == 0, "").otherwise(
-            F.col("l_suppkey").cast("string")).alias("unidad_ejecutora"),
-        F.when(line % 2 == 0, F.upper(name)).otherwise(name).alias("nombre_completo"),
-        category.alias("gastos_operacionales"),
-        amount.alias("monto"),
-        F.concat(F.lit("https://data.example/orders/"), key).alias("source_url"),
-        F.concat(F.lit("raw/"), file, F.lit(".json")).alias("raw_file"),
-        F.sha2(file, 256).alias("raw_body_sha256"),
-        F.lit("2026-01-01T00:00:00+00:00").alias("fecha_captura_utc"))
+        "CASE WHEN l_orderkey % 97 = 0 THEN '' "
+        "ELSE concat(l_orderkey, '-', l_linenumber) END AS source_id",
+        "'lineitem' AS fuente",
+        "'expenses' AS dataset",
+        "cast(year(l_shipdate) AS string) AS ano",
+        "cast(month(l_shipdate) AS string) AS mes",
+        "concat(year(l_shipdate), '-', lpad(month(l_shipdate), 2, '0')) AS periodo",
+        "CASE WHEN l_suppkey % 10 = 0 THEN '' ELSE cast(l_suppkey AS string) END "
+        "AS unidad_ejecutora",
+        f"CASE WHEN l_linenumber % 2 = 0 THEN upper({name}) ELSE {name} END AS nombre_completo",
+        f"""CASE WHEN l_quantity = 1 THEN concat('NOTA: ', {kind})
+            WHEN l_quantity = 2 THEN '$ 1.379.565'
+            WHEN l_quantity = 3 THEN ''
+            WHEN l_linenumber = 2 THEN concat({kind}, ' SENADORES')
+            WHEN l_linenumber = 3 THEN lower({kind})
+            WHEN l_linenumber = 4 THEN replace({kind}, 'O', 'Ó')
+            WHEN l_linenumber = 6 AND p_type = 'SMALL' THEN 'TRASLACIÓN SENADORES'
+            WHEN l_linenumber = 6 AND p_type = 'MEDIUM' THEN 'Arriendo  oficinas'
+            WHEN l_linenumber = 6 AND p_type = 'LARGE' THEN 'DISEÑO Y DESARROLLO PAG.WEB'
+            ELSE {kind} END AS gastos_operacionales""",
+        f"""CASE WHEN l_quantity IN (1, 2, 4) THEN ''
+            WHEN l_quantity = 5 THEN '0'
+            WHEN l_returnflag = 'R' AND l_linenumber = 5 THEN concat('-', {price})
+            ELSE {price} END AS monto""",
+        "concat('https://data.example/orders/', l_orderkey) AS source_url",
+        f"concat('raw/', {file}, '.json') AS raw_file",
+        f"sha2({file}, 256) AS raw_body_sha256",
+        "'2026-01-01T00:00:00+00:00' AS fecha_captura_utc")
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +82,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as run registry, one dataset per customer."""
     key = F.col("o_orderkey").cast("string")
-    month = F.date_format("o_orderdate", "yyyy-MM")
+    month = year_month("o_orderdate")
     path = F.concat(
         F.lit("senado/gastos_operacionales/runs/"), key, F.lit("/pipeline_manifest.json"))
     priority = F.col("o_orderpriority")
@@ -116,7 +114,7 @@ def run_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(q == 9, "otro").when(flag == "R", "ajuste").when(flag == "A", "ok")
         .otherwise(F.when(line > 3, "ok").otherwise("nota")).alias("row_status"),
         ((flag == "A") | (q == 8)).alias("include_in_ranking"),
-        F.when(q == 10, F.lit("")).otherwise(F.date_format("l_shipdate", "yyyy-MM"))
+        F.when(q == 10, F.lit("")).otherwise(year_month("l_shipdate"))
         .alias("periodo"),
         F.year("l_shipdate").cast("bigint").alias("ano"),
         (F.month("l_shipdate") + F.when(q == 50, 12).otherwise(0)).cast("bigint").alias("mes"),
@@ -136,7 +134,7 @@ def run_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("run_id"),
-        F.date_format("l_shipdate", "yyyy-MM").alias("periodo"),
+        year_month("l_shipdate").alias("periodo"),
         F.year("l_shipdate").cast("bigint").alias("ano"),
         (F.month("l_shipdate") + F.when(q == 50, 12).otherwise(0)).cast("bigint").alias("mes"),
         F.concat(F.lit("cat_"), F.col("l_returnflag")).alias("categoria_id"),

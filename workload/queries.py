@@ -132,7 +132,7 @@ def category_variants(spark, sf):
 @query
 def period_profile(spark, sf):
     periods = period_sets.distinct_periods(A.expenses(spark, sf), A.table(spark, sf, "orders")
-                                           .select(F.date_format("o_orderdate", "yyyy-MM")
+                                           .select(A.year_month("o_orderdate")
                                                    .alias("periodo")))
     return quality.period_profile(periods).withColumn(
         "missing_in_range", F.array_join("missing_in_range", ", "))
@@ -140,7 +140,7 @@ def period_profile(spark, sf):
 
 def _large_order_months(spark, sf):
     return A.table(spark, sf, "orders").where("o_totalprice >= 499000").select(
-        F.date_format("o_orderdate", "yyyy-MM").alias("periodo"))
+        A.year_month("o_orderdate").alias("periodo"))
 
 
 @query
@@ -458,7 +458,7 @@ def lineage_check(spark, sf):
 def file_suffixes(spark, sf):
     """Source file names built from each order's months, split again."""
     o = A.table(spark, sf, "orders").select(
-        F.date_format("o_orderdate", "yyyy-MM").alias("lo"), "o_orderpriority").distinct()
+        A.year_month("o_orderdate").alias("lo"), "o_orderpriority").distinct()
     name = F.concat(
         F.lit("data/processed/senado_gastos_operacionales_"), "lo",
         F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise("_2001-12"), F.lit(".csv"))
