@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens import contract as C
 from ledgerlens.operators.classify import order_key, with_entity_name
 from ledgerlens.operators.numbering import number_rows
+from ledgerlens.session import materialize
 
 GRAIN = ["periodo", "categoria_id", "parlamentario_id"]
 MEASURES = [
@@ -18,11 +19,12 @@ MEASURES = [
 ]
 
 
-def monthly_aggregate(classified: DataFrame, *, order_by: Sequence[str]) -> DataFrame:
-    """Totals per period, category and entity; year and month are the last row's.
+def monthly_partials(classified: DataFrame, *, order_by: Sequence[str]) -> DataFrame:
+    """One pass over the rows: sums by period, category, entity and the cells that may vary
+    within those, with the first and last order key of each group.
 
-    The first step also groups by the year and month cells, so all rows are combined
-    by plain sums and only the few results are compared by order key.
+    What follows, the groups with their last year and month and the category names with
+    their first spelling, only merges these few rows.
     """
     sums = {
         "total_monto": f"coalesce(sum(monto) FILTER (WHERE row_status = '{C.STATUS_OK}'), 0)",
@@ -34,15 +36,30 @@ def monthly_aggregate(classified: DataFrame, *, order_by: Sequence[str]) -> Data
             f"count_if(row_status IN ('{C.STATUS_NO_AMOUNT}', '{C.STATUS_AMOUNT_IN_TEXT}'))",
         "registros_excluidos": f"count_if(row_status <> '{C.STATUS_OK}')",
     }
-    partial = classified.groupBy(*GRAIN, "ano", "mes").agg(
+    return classified.groupBy(*GRAIN, "ano", "mes", "categoria_nombre").agg(
         *[F.expr(sums[m]).alias(m) for m in MEASURES],
-        F.max(order_key(order_by)).alias("__last"))
-    merged = partial.groupBy(*GRAIN).agg(
-        F.expr("max_by(struct(ano, mes), __last)").alias("__when"),
+        F.min(order_key(order_by)).alias("first_seen"),
+        F.max(order_key(order_by)).alias("last_seen"))
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Totals per period, category and entity; year and month are the last row's."""
+    merged = partials.groupBy(*GRAIN).agg(
+        F.expr("max_by(struct(ano, mes), last_seen)").alias("__when"),
         *[F.sum(m).alias(m) for m in MEASURES])
     return merged.selectExpr(*GRAIN, "__when.ano AS ano", "__when.mes AS mes", *MEASURES)
 
 
+def category_names(partials: DataFrame) -> DataFrame:
+    """Name of every category: the spelling of its first row."""
+    return partials.groupBy("categoria_id").agg(
+        F.expr("min_by(categoria_nombre, first_seen)").alias("categoria_nombre"))
+
+
+def monthly_aggregate(classified: DataFrame, *, order_by: Sequence[str]) -> DataFrame:
+    return merge_partials(monthly_partials(classified, order_by=order_by))
+
+
 def category_variants(classified: DataFrame, *, order_by: Sequence[str]) -> DataFrame:
     """Every raw spelling of a category with its counts and first position.
 
@@ -100,24 +117,26 @@ def category_catalogue(
     return stats.join(cells, "categoria_id", "left").select(*C.CATEGORY_COLUMNS)
 
 
-def named_groups(
-    aggregate: DataFrame, category_names: DataFrame, entity_names: DataFrame
+def ranking_groups(
+    classified: DataFrame, entity_names: DataFrame, *, order_by: Sequence[str]
 ) -> DataFrame:
     """Ranked groups with their names; groups without ranked rows are dropped.
 
-    Names join the aggregate, which is far smaller than the rows it came from.
+    The partial sums are stored once and used twice.  Names join the groups, which are
+    far fewer than the rows they came from.
     """
-    named = with_entity_name(aggregate.where("registros > 0"), entity_names, raw_name=None)
-    return named.join(
-        category_names.select("categoria_id", "categoria_nombre"), "categoria_id", "left")
+    partials = materialize(monthly_partials(classified, order_by=order_by), "partials")
+    named = with_entity_name(
+        merge_partials(partials).where("registros > 0"), entity_names, raw_name=None)
+    return named.join(category_names(partials), "categoria_id", "left")
 
 
 def monthly_ranking(
-    aggregate: DataFrame, category_names: DataFrame, entity_names: DataFrame
+    classified: DataFrame, entity_names: DataFrame, *, order_by: Sequence[str]
 ) -> DataFrame:
     """Rank in period and category by total, then name, then id."""
     ranked = number_rows(
-        named_groups(aggregate, category_names, entity_names),
+        ranking_groups(classified, entity_names, order_by=order_by),
         [F.desc("total_monto"), F.asc("parlamentario_nombre"), F.asc("parlamentario_id")],
         partition_by=["periodo", "categoria_id"],
         name="rank")

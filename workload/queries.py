@@ -33,16 +33,24 @@ def _classified(spark, sf) -> DataFrame:
     return classify.classify_rows(A.expenses(spark, sf), order_by=A.ORDER)
 
 
+def _numbered(spark, sf) -> DataFrame:
+    """Classified rows whose order key is their row number, stored once with the columns
+    that rankings and catalogues need.  Firsts and lasts are then minima of one bigint."""
+    cells = ["source_id", "ano", "mes", "periodo", "unidad_ejecutora", "nombre_completo",
+             "gastos_operacionales", "monto"]
+    x = A.expenses(spark, sf).select(*A.ORDER, *cells)
+    rows = number_rows(x, A.ORDER).select(*cells, "row_number")
+    return classify.classify_rows(rows, order_by=["row_number"])
+
+
 def _names(spark, sf) -> DataFrame:
     return classify.name_catalogue(A.expenses(spark, sf), A.entities(spark, sf))
 
 
 def _groups(spark, sf) -> DataFrame:
     """The ranking table without its rank column, which the serving views drop."""
-    rows = _classified(spark, sf)
-    stats = ranking.category_stats(ranking.category_variants(rows, order_by=A.ORDER))
-    groups = ranking.monthly_aggregate(rows, order_by=A.ORDER)
-    return ranking.named_groups(groups, stats, _names(spark, sf))
+    return ranking.ranking_groups(
+        _numbered(spark, sf), _names(spark, sf), order_by=["row_number"])
 
 
 def _view(spark, sf) -> DataFrame:
@@ -110,15 +118,13 @@ def monthly_aggregate(spark, sf):
 
 @query
 def monthly_ranking(spark, sf):
-    rows = _classified(spark, sf)
-    stats = ranking.category_stats(ranking.category_variants(rows, order_by=A.ORDER))
     return ranking.monthly_ranking(
-        ranking.monthly_aggregate(rows, order_by=A.ORDER), stats, _names(spark, sf))
+        _numbered(spark, sf), _names(spark, sf), order_by=["row_number"])
 
 
 @query
 def category_catalogue(spark, sf):
-    return ranking.category_catalogue(_classified(spark, sf), order_by=A.ORDER)
+    return ranking.category_catalogue(_numbered(spark, sf), order_by=["row_number"])
 
 
 @query
