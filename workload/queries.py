@@ -14,7 +14,7 @@ from ledgerlens.operators.numbering import number_rows
 from ledgerlens.plans import normalize as N
 from ledgerlens.plans import publish as P
 from ledgerlens.plans import serve
-from ledgerlens.session import materialize, scratch_path
+from ledgerlens.session import scratch_path
 from ledgerlens.sources import csv_files, raw_json
 from workload import facade as A
 
@@ -33,16 +33,6 @@ def _classified(spark, sf) -> DataFrame:
     return classify.classify_rows(A.expenses(spark, sf), order_by=A.ORDER)
 
 
-def _numbered(spark, sf) -> DataFrame:
-    """Classified rows whose order key is their row number, stored once with the columns
-    that rankings and catalogues need.  Firsts and lasts are then minima of one bigint."""
-    cells = ["source_id", "ano", "mes", "periodo", "unidad_ejecutora", "nombre_completo",
-             "gastos_operacionales", "monto"]
-    x = A.expenses(spark, sf).select(*A.ORDER, *cells)
-    rows = number_rows(x, A.ORDER).select(*cells, "row_number")
-    return classify.classify_rows(rows, order_by=["row_number"])
-
-
 def _names(spark, sf) -> DataFrame:
     return classify.name_catalogue(A.expenses(spark, sf), A.entities(spark, sf))
 
@@ -50,7 +40,7 @@ def _names(spark, sf) -> DataFrame:
 def _groups(spark, sf) -> DataFrame:
     """The ranking table without its rank column, which the serving views drop."""
     return ranking.ranking_groups(
-        _numbered(spark, sf), _names(spark, sf), order_by=["row_number"])
+        _classified(spark, sf), _names(spark, sf), order_by=A.ORDER)
 
 
 def _view(spark, sf) -> DataFrame:
@@ -119,12 +109,12 @@ def monthly_aggregate(spark, sf):
 @query
 def monthly_ranking(spark, sf):
     return ranking.monthly_ranking(
-        _numbered(spark, sf), _names(spark, sf), order_by=["row_number"])
+        _classified(spark, sf), _names(spark, sf), order_by=A.ORDER)
 
 
 @query
 def category_catalogue(spark, sf):
-    return ranking.category_catalogue(_numbered(spark, sf), order_by=["row_number"])
+    return ranking.category_catalogue(_classified(spark, sf), order_by=A.ORDER)
 
 
 @query
