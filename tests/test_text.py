@@ -105,3 +105,13 @@ def test_full_name(spark):
 def test_outlined_branches_use_no_python(spark):
     plan = frame(spark, ["a"]).select(X.category_key("x"), X.slugify("x")).select(F.lit(1))
     assert "Python" not in plan._jdf.queryExecution().toString()
+
+
+def test_long_texts_are_whole(spark):
+    n = 200_000
+    df = spark.range(1).select(
+        F.expr(f"repeat('ab ', {n})").alias("plain"), F.expr(f"repeat('ÁB ', {n})").alias("marked"))
+    row = df.select(
+        F.length(X.clean_cell("plain")), F.length(X.slugify("marked")),
+        F.length(X.display_person_name("marked"))).first()
+    assert tuple(row) == (3 * n - 1, 3 * n - 1, 3 * n - 1)
