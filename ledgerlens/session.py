@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +29,25 @@ def local_session(app: str = "ledgerlens", cores: str = "*", partitions: int = 8
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=None)
+def _shipped(application: str, spark: SparkSession) -> None:
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="ledgerlens-code-")
+    archive = shutil.make_archive(f"{folder}/ledgerlens", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the Python workers, once for each application."""
+    _shipped(spark.sparkContext.applicationId, spark)
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; in local mode a new one where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="ledgerlens-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
