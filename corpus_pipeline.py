@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import pieces, secret_scan
 from ledgerlens.llm.queries import PIECE_MODEL
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, ship_package
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +32,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pieces, secret_scan, token_files
+from ..session import ship_package
+from . import decontaminate, near_dups, pieces, secret_scan, token_files
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -15,6 +16,7 @@ END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,11 +39,16 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_files": op4_token_files,
+    "op7_near_dedup": op7_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
