@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
-from . import decontaminate, near_dups, pieces, secret_scan, token_files
+from . import decontaminate, near_dups, pieces, repeats, secret_scan, token_files
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -43,12 +43,17 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_files": op4_token_files,
     "op7_near_dedup": op7_near_dedup,
+    "op9_repeats": op9_repeats,
 }
 
 ORACLES: dict[str, str] = {}
