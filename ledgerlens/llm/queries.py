@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, near_dups, pieces, repeats, secret_scan, token_files
+from . import decontaminate, kd_search, near_dups, pieces, quality, repeats, secret_scan, token_files, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -39,6 +40,18 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID)
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good; selected are texts likely of grade 1 or more."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))
+    model = quality.fit(docs, labels, grade, n_grades=3)
+    return quality.grade_texts(docs, model, select_grade=1)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -47,13 +60,63 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_files": op4_token_files,
+    "op5_top_k": op5_top_k,
+    "op6_quality": op6_quality,
     "op7_near_dedup": op7_near_dedup,
     "op9_repeats": op9_repeats,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": rf"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'i', item_id, text FROM benchmark),
+split AS (
+  SELECT kind, id, list_filter(list_transform(
+    string_split_regex(translate(coalesce(text, ''), {_LETTERS}), '[\x20\x09-\x0D]+'),
+    lambda x: trim(x, '.,;:!?"''()[]')), lambda x: x <> '') AS w
+  FROM texts),
+items AS (
+  SELECT id, least(5, len(w)) AS n, unnest(list_distinct(list_transform(
+    range(1, len(w) - least(5, len(w)) + 2), lambda i: list_slice(w, i, i + least(5, len(w)) - 1)))) AS s
+  FROM split WHERE kind = 'i' AND len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM items),
+docs AS (
+  SELECT id, n, unnest(list_distinct(list_transform(
+    range(1, len(w) - n + 2), lambda i: list_slice(w, i, i + n - 1)))) AS s
+  FROM split, lengths WHERE kind = 'd'),
+sizes AS (SELECT id, count(*) AS n_shingles FROM items GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, CAST(any_value(n_shingles) AS INTEGER) AS n_shingles,
+  CAST(count(*) AS INTEGER) AS n_shared, count(*) / any_value(n_shingles) AS containment
+FROM docs d JOIN items i ON d.n = i.n AND d.s = i.s JOIN sizes z ON z.id = i.id
+GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n_shingles)""",
+    "op5_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding,
+    lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding,
+    lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(
+    list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (
+    PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scores)
+SELECT * FROM ranked WHERE rank <= 10""",
+}
