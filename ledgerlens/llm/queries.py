@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, kd_search, near_dups, pieces, quality, repeats, secret_scan, token_files, toxicity
+from . import decontaminate, kd_search, near_dups, ngram_lm, pieces, quality, repeats, secret_scan, token_files, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -56,6 +56,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_top_k": op5_top_k,
     "op6_quality": op6_quality,
     "op7_near_dedup": op7_near_dedup,
+    "op8_lm_scores": op8_lm_scores,
     "op9_repeats": op9_repeats,
     "op10_toxicity": op10_toxicity,
 }
