@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import pieces, secret_scan
-from ledgerlens.llm.queries import PIECE_MODEL
+from ledgerlens.llm import decontaminate, near_dups, pieces, secret_scan, toxicity
+from ledgerlens.llm.queries import PIECE_MODEL, table
 from ledgerlens.session import materialize, ship_package
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on the labelled ones among them, calls toxic go."""
+    network = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, network)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, a similarity of 0.8 or more."""
+    return near_dups.drop_near_duplicates(docs, shingle=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; no document goes."""
     return secret_scan.mask_secrets(docs)
@@ -16,12 +33,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text that is left, and whether they decode to it."""
-    import public_tokenizers
-
     return pieces.encode_texts(docs, public_tokenizers.path(PIECE_MODEL))
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
     ("secrets", mask_secrets),
     ("sentencepiece", encode_pieces),
 ]

@@ -47,6 +47,17 @@ def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def kept_rows(batches: Iterator[pa.RecordBatch], dropped, column: str = "text",
+              limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Whole rows of batches, less those for which ``dropped`` (texts to booleans) is true."""
+    for batch in batches:
+        text = batch.column(batch.schema.get_field_index(column))
+        number = pa.array(np.arange(batch.num_rows))
+        for chunk in chunks(iter([pa.RecordBatch.from_arrays([number, text], ["row", column])]), column, limit):
+            gone = dropped(chunk.column(column))
+            yield batch.take(chunk.column("row").filter(pa.array(~gone)))
+
+
 def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a large_string or large_binary array."""
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import chunks, shingle_hashes, string_hashes, words
+from .arrow_text import chunks, kept_rows, shingle_hashes, string_hashes, words
 
 SHINGLE, SHARE = 5, 0.8
 #: Bytes of item texts in a block; an item beyond it has a block of its own.
@@ -98,49 +98,72 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share:
     """
     spark = docs.sparkSession
     rows = docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "CAST(text AS string) AS text")
+    found = [rows.mapInArrow(_search(block), RESULT)
+             for block in _blocks(spark, items, size, share, block_bytes)]
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], RESULT)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, share: float = SHARE,
+                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``docs``, with all columns, whose text contains no item."""
+    for block in _blocks(docs.sparkSession, items, size, share, block_bytes):
+        docs = docs.mapInArrow(_without(block), docs.schema)
+    return docs
+
+
+def _blocks(spark, items: DataFrame, size: int, share: float, block_bytes: int) -> Iterator:
+    """Broadcast blocks of items, of about ``block_bytes`` of text each."""
     tests = items.selectExpr("CAST(item_id AS bigint) AS item_id", "CAST(text AS string) AS text")
     tests = tests.where("text IS NOT NULL AND text <> ''")
     volume = tests.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(volume / block_bytes))
-    found = []
     for k in range(n_blocks):
         block = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
         if block:
-            shared = spark.sparkContext.broadcast(Items([tuple(r) for r in block], size, share))
-            found.append(rows.mapInArrow(_search(shared), RESULT))
-    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], RESULT)
+            yield spark.sparkContext.broadcast(Items([tuple(r) for r in block], size, share))
 
 
 RESULT = "doc_id bigint, item_id bigint, n_shingles int, n_shared int, containment double"
 
 
+def _hits(items: Items, text: pa.Array) -> list[tuple]:
+    """(row, item_id, shingles of the item, shared ones) of contained items."""
+    hashes, offsets = _word_hashes(text)
+    out = []
+    for length, (keys, by_key) in items.sketches.items():
+        shingles = shingle_hashes(hashes, length)
+        if not len(shingles):
+            continue
+        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        hits = np.flatnonzero(keys[at] == shingles)
+        row = np.searchsorted(offsets, hits, side="right") - 1
+        inside = hits + length <= offsets[row + 1]
+        candidates: dict[int, set[int]] = defaultdict(set)
+        for r, key in zip(row[inside].tolist(), shingles[hits[inside]].tolist(), strict=True):
+            candidates[r].update(by_key[key])
+        for r, which in candidates.items():
+            out += [(r, *found) for found in items.contained(length, which, normal_words(text[r].as_py()))]
+    return out
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
         for chunk in chunks(batches):
-            text = chunk.column("text")
-            hashes, offsets = _word_hashes(text)
-            out = []
-            for length, (keys, by_key) in items.sketches.items():
-                shingles = shingle_hashes(hashes, length)
-                if not len(shingles):
-                    continue
-                at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-                hits = np.flatnonzero(keys[at] == shingles)
-                row = np.searchsorted(offsets, hits, side="right") - 1
-                inside = hits + length <= offsets[row + 1]
-                candidates: dict[int, set[int]] = defaultdict(set)
-                for r, key in zip(row[inside].tolist(), shingles[hits[inside]].tolist(), strict=True):
-                    candidates[r].update(by_key[key])
-                for r, which in candidates.items():
-                    text_words = normal_words(text[r].as_py())
-                    doc_id = chunk.column("doc_id")[r].as_py()
-                    for item_id, n, n_shared in items.contained(length, which, text_words):
-                        out.append((doc_id, item_id, n, n_shared, n_shared / n))
-            names = [field.split()[0] for field in RESULT.split(", ")]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            found = _hits(shared.value, chunk.column("text"))
+            row, item, n, n_shared = (list(c) for c in zip(*found, strict=True)) if found else ([],) * 4
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": chunk.column("doc_id").take(pa.array(row, pa.int64())),
+                "item_id": pa.array(item, pa.int64()), "n_shingles": pa.array(n, pa.int32()),
+                "n_shared": pa.array(n_shared, pa.int32()),
+                "containment": pa.array([a / b for a, b in zip(n_shared, n, strict=True)], pa.float64())})
 
     return run
+
+
+def _without(shared):
+    def contained(text: pa.Array) -> np.ndarray:
+        gone = np.zeros(len(text), bool)
+        gone[[found[0] for found in _hits(shared.value, text)]] = True
+        return gone
+
+    return lambda batches: kept_rows(batches, contained)

@@ -268,31 +268,50 @@ def confirmed(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+    """doc_id, n_shingles, component_id, kept, text_key for every row.
 
     Rows are linked if 100 times the number of their common shingles is at least ``percent`` times
     that of all their shingles; a text of fewer words than a shingle is one shingle. Texts without
-    words, empty and null ones are linked with nothing and keep their own doc_id. component_id is
-    the smallest doc_id reachable; a row without a doc_id is never kept, unless it has no words,
-    and lends no id. Repeated rows all stay, with one component. Only doc_id and text are read.
+    words, empty and null ones are linked with nothing and all kept under their own doc_id.
+    component_id is the smallest doc_id reachable (null where no row has one), and the row that
+    bears it is kept; rows without a doc_id come last, by text_key, a hash of the text. Repeated
+    rows have one component and are kept, or not, together. Only doc_id and text are read.
     """
     rows = docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "CAST(text AS string) AS text")
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     signed = materialize(signatures(rows, shingle), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("least_id"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("of"),
-        F.first("bands").alias("bands"),
-        F.first("signature").alias("signature"))
+        F.min(row).alias("of"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     nodes = materialize(nodes, "nodes")
     grouped = families(nodes.select("node", "bands", "signature"), percent / 100 - MARGIN)
     members = nodes.select("node", "of").join(grouped, "node")
     labels = components(confirmed(members, rows, shingle, percent))
-    known = nodes.select("node", "least_id").join(labels, "node", "left").withColumn(
+    known = nodes.select("node", "of").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
-    roots = known.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    known = known.join(roots, "label").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(known, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0))
+    roots = known.groupBy("label").agg(F.min("of").alias("root"))
+    known = known.join(roots, "label").select("node", "root")
+    out = signed.select("doc_id", "text_key", "n_shingles", "node").join(known, "node", "left")
+    single = F.col("node").isNull()
+    is_root = F.col("doc_id").eqNullSafe(F.col("root.doc_id")) & (F.col("text_key") == F.col("root.text_key"))
+    return out.select(
+        "doc_id", "n_shingles", F.when(single, F.col("doc_id")).otherwise(F.col("root.doc_id")).alias("component_id"),
+        (single | is_root).alias("kept"), "text_key")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs``, with all columns, of which one stays for each group of near duplicates.
+
+    Of rows with the same doc_id and text one stays, unless they have no words.
+    """
+    found = near_duplicates(docs, shingle, percent).where("kept")
+    keys = {"__near_text_key": F.col("text_key"), "__near_no_id": F.col("doc_id").isNull(),
+            "__near_id": F.coalesce("doc_id", F.lit(0))}
+    kept = found.groupBy([c.alias(k) for k, c in keys.items()]).agg(
+        F.min("n_shingles").alias("__near_size"))
+    docs_keys = {"__near_text_key": F.xxhash64(F.col("text").cast("string")), "__near_no_id": F.col("doc_id").isNull(),
+                 "__near_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))}
+    rows = docs.withColumns(docs_keys).join(kept, list(keys))
+    # each wordless row has a number of its own; equal rows with words share one
+    rows = rows.withColumn("__near_row", F.when(F.col("__near_size") == 0, F.monotonically_increasing_id()).otherwise(-1))
+    return rows.dropDuplicates([*keys, "__near_row"]).select(*docs.columns)

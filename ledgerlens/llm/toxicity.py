@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import chunks, words
+from .arrow_text import chunks, kept_rows, words
 from .word_features import gram_means, labelled_sample, remainder, word_features
 
 WINDOW, STRIDE = 32, 24
@@ -32,6 +32,8 @@ WINDOWS_A_DOCUMENT = 40
 #: Windows are chosen anew after each CHOOSE rounds.
 ROUNDS, RANDOM_ROUNDS, CHOOSE, BATCH, RATE = 13, 3, 2, 128, 0.01
 THRESHOLD = 0.7
+#: Bytes of text scored together.
+TEXT_BYTES = 6 << 20
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -200,6 +202,28 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Network:
     return network
 
 
+def _scores(network: Network, texts: pa.Array) -> np.ndarray:
+    """Score of each text: that of its highest window."""
+    found = words(texts)
+    out = np.full(len(texts), float(network.weights["bias"][0]))
+    windows, text = windows_of(found.index, found.offsets)
+    if len(windows):
+        odds = network.scores(word_features(found.vocabulary, WORD_BITS, GRAM_BITS), windows)
+        first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        out[text[first]] = np.maximum.reduceat(odds, first)
+    return sigmoid(out)
+
+
+def drop_toxic(docs: DataFrame, network: Network) -> DataFrame:
+    """Rows of ``docs``, with all columns, whose score is under THRESHOLD."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return kept_rows(batches, lambda text: _scores(shared.value, text) >= THRESHOLD, limit=TEXT_BYTES)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_texts(docs: DataFrame, network: Network, hold_out: int = 3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; texts without words have the bias alone.
 
@@ -209,17 +233,8 @@ def score_texts(docs: DataFrame, network: Network, hold_out: int = 3) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = shared.value
-        bias = float(network.weights["bias"][0])
-        for chunk in chunks(batches, limit=6 << 20):
-            found = words(chunk.column("text"))
-            out = np.full(chunk.num_rows, bias)
-            windows, text = windows_of(found.index, found.offsets)
-            if len(windows):
-                odds = network.scores(word_features(found.vocabulary, WORD_BITS, GRAM_BITS), windows)
-                first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-                out[text[first]] = np.maximum.reduceat(odds, first)
-            score = sigmoid(out)
+        for chunk in chunks(batches, limit=TEXT_BYTES):
+            score = _scores(shared.value, chunk.column("text"))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": chunk.column("doc_id"), "score": pa.array(score, pa.float64()),
                 "predicted": pa.array((score >= THRESHOLD).astype(np.int32))})
