@@ -106,7 +106,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` words that start at each place; the last ``size - 1`` are missing."""
     n = len(hashes) - size + 1
-    if n <= 0:
+    if n <= 0 or size <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, size, np.uint64)
     for k in range(size):
