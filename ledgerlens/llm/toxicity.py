@@ -180,7 +180,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Network:
     first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
     count = np.diff(np.append(first, len(text)))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.weights.items()}
-    step = 0
+    step, batch = 0, int(np.clip(len(first) // 16, 8, BATCH))  # few documents take smaller steps
     for round_ in range(ROUNDS):
         if round_ < RANDOM_ROUNDS:
             chosen = first + (draw.random(len(first)) * count).astype(np.int64)
@@ -189,8 +189,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Network:
             top = np.maximum.reduceat(odds, first)
             chosen = np.flatnonzero(odds == top[np.repeat(np.arange(len(first)), count)])
         draw.shuffle(chosen)
-        for a in range(0, len(chosen), BATCH):
-            mine = chosen[a:a + BATCH]
+        for a in range(0, len(chosen), batch):
+            mine = chosen[a:a + batch]
             gradients = network.learn(features, windows[mine].T, target[text[mine]])
             step += 1
             rate = RATE * (1 - 0.9 * round_ / ROUNDS) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
