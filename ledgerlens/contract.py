@@ -38,45 +38,144 @@ PUBLICATION_FROM = "2021-01"
 PAGE_SIZE = 500
 
 # --- fixed values: file columns ------------------------------------------------------
-AVAILABLE_PERIOD_COLUMNS = (
-    "fuente dataset source_id ano mes periodo endpoint url createdAt updatedAt selected "
-    "source_url fecha_captura_utc raw_body_sha256 raw_file"
-).split()
-
-ENTITY_COLUMNS = (
-    "fuente dataset ano mes periodo unidad_ejecutora nombre appaterno apmaterno "
-    "nombre_completo source_url fecha_captura_utc raw_body_sha256 raw_file api_status "
-    "api_results"
-).split()
-
-EXPENSE_COLUMNS = (
-    "fuente dataset source_id ano mes periodo unidad_ejecutora nombre appaterno apmaterno "
-    "nombre_completo gastos_operacionales monto createdAt updatedAt publishedAt source_url "
-    "fecha_captura_utc raw_body_sha256 raw_file api_status api_results api_page "
-    "api_page_size api_page_count api_total"
-).split()
-
-CLEAN_COLUMNS = (
-    "source_id row_number row_status include_in_ranking exclusion_reason fuente dataset ano "
-    "mes periodo parlamentario_id parlamentario_nombre parlamentario_id_source "
-    "unidad_ejecutora nombre_completo_raw categoria_id categoria_nombre categoria_key "
-    "categoria_raw monto monto_raw source_url raw_file raw_body_sha256 fecha_captura_utc"
-).split()
-
-RANKING_COLUMNS = (
-    "periodo ano mes categoria_id categoria_nombre parlamentario_id parlamentario_nombre "
-    "rank total_monto registros total_ajustes registros_ajuste registros_sin_monto "
-    "registros_excluidos"
-).split()
-
-CATEGORY_COLUMNS = (
-    "categoria_id categoria_nombre categoria_key rows included_rows excluded_rows "
-    "total_monto raw_variant_count raw_variants"
-).split()
-
-PROBLEM_EXAMPLE_COLUMNS = (
-    "source_id periodo parlamentario_nombre categoria_raw monto_raw raw_file"
-).split()
+AVAILABLE_PERIOD_COLUMNS = [
+    "fuente",
+    "dataset",
+    "source_id",
+    "ano",
+    "mes",
+    "periodo",
+    "endpoint",
+    "url",
+    "createdAt",
+    "updatedAt",
+    "selected",
+    "source_url",
+    "fecha_captura_utc",
+    "raw_body_sha256",
+    "raw_file",
+]
+
+ENTITY_COLUMNS = [
+    "fuente",
+    "dataset",
+    "ano",
+    "mes",
+    "periodo",
+    "unidad_ejecutora",
+    "nombre",
+    "appaterno",
+    "apmaterno",
+    "nombre_completo",
+    "source_url",
+    "fecha_captura_utc",
+    "raw_body_sha256",
+    "raw_file",
+    "api_status",
+    "api_results",
+]
+
+EXPENSE_COLUMNS = [
+    "fuente",
+    "dataset",
+    "source_id",
+    "ano",
+    "mes",
+    "periodo",
+    "unidad_ejecutora",
+    "nombre",
+    "appaterno",
+    "apmaterno",
+    "nombre_completo",
+    "gastos_operacionales",
+    "monto",
+    "createdAt",
+    "updatedAt",
+    "publishedAt",
+    "source_url",
+    "fecha_captura_utc",
+    "raw_body_sha256",
+    "raw_file",
+    "api_status",
+    "api_results",
+    "api_page",
+    "api_page_size",
+    "api_page_count",
+    "api_total",
+]
+
+CLEAN_COLUMNS = [
+    "source_id",
+    "row_number",
+    "row_status",
+    "include_in_ranking",
+    "exclusion_reason",
+    "fuente",
+    "dataset",
+    "ano",
+    "mes",
+    "periodo",
+    "parlamentario_id",
+    "parlamentario_nombre",
+    "parlamentario_id_source",
+    "unidad_ejecutora",
+    "nombre_completo_raw",
+    "categoria_id",
+    "categoria_nombre",
+    "categoria_key",
+    "categoria_raw",
+    "monto",
+    "monto_raw",
+    "source_url",
+    "raw_file",
+    "raw_body_sha256",
+    "fecha_captura_utc",
+]
+
+RANKING_COLUMNS = [
+    "periodo",
+    "ano",
+    "mes",
+    "categoria_id",
+    "categoria_nombre",
+    "parlamentario_id",
+    "parlamentario_nombre",
+    "rank",
+    "total_monto",
+    "registros",
+    "total_ajustes",
+    "registros_ajuste",
+    "registros_sin_monto",
+    "registros_excluidos",
+]
+
+CATEGORY_COLUMNS = [
+    "categoria_id",
+    "categoria_nombre",
+    "categoria_key",
+    "rows",
+    "included_rows",
+    "excluded_rows",
+    "total_monto",
+    "raw_variant_count",
+]
+
+SPELLING_COLUMNS = [
+    "categoria_id",
+    "position",
+    "categoria_raw",
+    "rows",
+    "rendered",
+]
+
+PROBLEM_EXAMPLE_COLUMNS = [
+    "source_id",
+    "periodo",
+    "parlamentario_nombre",
+    "categoria_raw",
+    "monto_raw",
+    "raw_file",
+]
 
 # --- fixed values: category aliases, key -> (id, name) ----------------------------------
 CATEGORY_ALIASES = {

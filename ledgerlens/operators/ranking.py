@@ -82,13 +82,11 @@ def category_stats(variants: DataFrame) -> DataFrame:
         F.expr("sum(rows) AS rows"),
         F.expr("sum(included_rows) AS included_rows"),
         F.expr("sum(total_monto) AS total_monto"),
-        F.expr("count(*) AS raw_variant_count"),
-        F.expr("sum(cast(octet_length(categoria_raw) AS bigint)) AS raw_variant_bytes"))
+        F.expr("count(*) AS raw_variant_count"))
     return stats.selectExpr(
         "categoria_id", "__first.categoria_nombre AS categoria_nombre",
         "__first.categoria_key AS categoria_key", "rows", "included_rows",
-        "rows - included_rows AS excluded_rows", "total_monto", "raw_variant_count",
-        "raw_variant_bytes")
+        "rows - included_rows AS excluded_rows", "total_monto", "raw_variant_count")
 
 
 def category_catalogue(
@@ -96,25 +94,20 @@ def category_catalogue(
     *,
     order_by: Sequence[str],
     variants: DataFrame | None = None,
-    max_inline_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """Category table with its spellings in one text cell, most frequent first.
-
-    A cell has a size limit, the spellings do not: a category whose spellings exceed
-    ``max_inline_bytes`` gets a null cell here and is whole in ``category_variants``.
-    Such categories are filtered before anything is collected.
-    """
+    """Category table; the spellings of a category are rows of ``category_spellings``."""
     if variants is None:
         variants = category_variants(classified, order_by=order_by)
-    stats = category_stats(variants)
-    fits = stats.where(F.col("raw_variant_bytes") <= max_inline_bytes).select("categoria_id")
-    ordered = F.array_sort(F.collect_list(
-        F.struct((-F.col("rows")).alias("n"), "first_seen", "categoria_raw")))
-    rendered = F.transform(
-        ordered, lambda v: F.concat(v.categoria_raw, F.lit(" ("), -v.n, F.lit(")")))
-    cells = variants.join(fits, "categoria_id", "left_semi").groupBy("categoria_id").agg(
-        F.array_join(rendered, " | ").alias("raw_variants"))
-    return stats.join(cells, "categoria_id", "left").select(*C.CATEGORY_COLUMNS)
+    return category_stats(variants).select(*C.CATEGORY_COLUMNS)
+
+
+def category_spellings(variants: DataFrame) -> DataFrame:
+    """Every spelling of every category with its position, most frequent first."""
+    placed = number_rows(
+        variants.select("categoria_id", "categoria_raw", "rows", "first_seen"),
+        [F.desc("rows"), F.asc("first_seen")], partition_by=["categoria_id"], name="position")
+    rendered = F.concat("categoria_raw", F.lit(" ("), F.col("rows"), F.lit(")"))
+    return placed.withColumn("rendered", rendered).select(*C.SPELLING_COLUMNS)
 
 
 def ranking_groups(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import contract as C
@@ -17,18 +17,23 @@ LATEST_COLUMNS = [
 ]
 
 
+def generated_at() -> Column:
+    """Moment of a run: texts with different offsets compare by time, what is no time is null."""
+    return F.col("generated_at_utc").try_cast("timestamp")
+
+
 def latest_run(runs: DataFrame, dataset: str = C.DATASET_NAME) -> DataFrame:
     """Newest ok run of a dataset, in at most one row."""
     kept = [c for c in LATEST_COLUMNS if c in runs.columns]
     return runs.where((F.col("dataset") == dataset) & (F.col("status") == C.STATUS_OK)).orderBy(
-        F.desc("generated_at_utc"), F.desc("id")).limit(1).select(*kept)
+        generated_at().desc_nulls_last(), F.desc("id")).limit(1).select(*kept)
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
     """Newest ok run of every dataset, by a map-side maximum instead of a sort per dataset."""
     kept = [c for c in LATEST_COLUMNS if c in runs.columns and c != "dataset"]
     newest = runs.where(F.col("status") == C.STATUS_OK).groupBy("dataset").agg(
-        F.max_by(F.struct(*kept), F.struct("generated_at_utc", "id")).alias("__run"))
+        F.max_by(F.struct(*kept), F.struct(generated_at().alias("at"), "id")).alias("__run"))
     return newest.select("dataset", "__run.*")
 
 

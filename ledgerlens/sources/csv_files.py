@@ -24,13 +24,14 @@ def read_csv(
 
     ``multi_line`` allows line breaks inside quotes but keeps a file in one task;
     turn it off for large files known to have none, which Spark then splits.
+    Files whose header differs from the first one's fail instead of shifting columns.
     ``with_order`` adds FILE_ORDER: file, block and row order, a total order key.
     """
     frame = (
         spark.read.option("header", True).option("multiLine", multi_line)
         .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .option("recursiveFileLookup", True)
+        .option("recursiveFileLookup", True).option("enforceSchema", False)
         .csv(path if isinstance(path, str) else list(path)))
     cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.removeprefix(BOM))
              for c in frame.columns]

@@ -76,6 +76,11 @@ def test_latest_and_rollback(spark):
         t(id, dataset, run_id, generated_at_utc, status)""")
     assert registry.latest_run(runs, "d").first().run_id == "r3"
     assert registry.latest_runs(runs).first().run_id == "r3"
+    offsets = spark.sql("""SELECT * FROM VALUES
+        (1L, 'd', 'late', '2026-01-01T23:00:00-03:00', 'ok'), (2L, 'd', 'early', '2026-01-02T00:00:00+00:00', 'ok'),
+        (3L, 'd', 'none', 'no time', 'ok') t(id, dataset, run_id, generated_at_utc, status)""")
+    assert registry.latest_run(offsets, "d").first().run_id == "late"
+    assert registry.latest_runs(offsets).first().run_id == "late"
     change = spark.sql("SELECT 'r3' run_id, 'error' status")
     assert registry.latest_run(registry.set_run_status(runs, change), "d").first().run_id == "r2"
 
@@ -83,18 +88,19 @@ def test_latest_and_rollback(spark):
 def manifest(spark, run_id, rows):
     key = f"senado/gastos_operacionales/runs/{run_id}/pipeline_manifest.json"
     return spark.sql(f"""SELECT 'senado_gastos_operacionales' dataset, '{run_id}' run_id,
-        '2026-01-0{run_id[-1]}' generated_at_utc, '2025-01' period_from, '2025-02' period_to,
+        '2026-01-0{run_id[-1]}T00:00:00+00:00' generated_at_utc, '2025-01' period_from, '2025-02' period_to,
         '{key}' r2_manifest_key, 'https://x.example/{key}' public_manifest_url,
-        array(named_struct('name', 'clean', 'row_count', {rows}L)) output_files""")
+        array(named_struct('name', 'clean', 'row_count', {rows}L),
+              named_struct('name', 'ranking_mensual', 'row_count', 1L)) output_files""")
 
 
 def test_publish_load_and_serve(spark, expenses, tmp_path):
     store = str(tmp_path / "store")
-    one = normalize.normalize(expenses(
-        ("1", "2025-01", "7", "Uno", "TRASLACION", "100"),
-        ("2", "2025-02", "8", "Dos", "DIFUSION", "40")), order_by=["pos"])
+    one = normalize.normalize(expenses("""
+        1 | 2025-01 | 7 | Uno | TRASLACION | 100
+        2 | 2025-02 | 8 | Dos | DIFUSION   | 40"""), order_by=["pos"])
     two = normalize.normalize(
-        expenses(("1", "2025-01", "7", "Uno", "TRASLACION", "900")), order_by=["pos"])
+        expenses("1 | 2025-01 | 7 | Uno | TRASLACION | 900"), order_by=["pos"])
     publish.load_run(manifest(spark, "r1", 2), one.clean, one.ranking, store=store, run_id="r1")
     publish.load_run(manifest(spark, "r2", 1), two.clean, two.ranking, store=store, run_id="r2")
     publish.load_run(manifest(spark, "r1", 2), one.clean, one.ranking, store=store, run_id="r1")
@@ -124,6 +130,15 @@ def test_publish_load_and_serve(spark, expenses, tmp_path):
         publish.load_run(manifest(spark, "r3", 2), broken, one.ranking, store=store, run_id="r3")
     assert spark.read.parquet(f"{store}/facts").where("run_id = 'r3'").count() == 0
 
+    for run_id, frame, rule in (
+            ("r9", manifest(spark, "r1", 2), "run_id_agreement"),
+            ("r1", manifest(spark, "r1", 999), "row_count"),
+            ("r1", manifest(spark, "r1", 2).withColumn("period_from", F.lit("2024-99")), "period_from")):
+        with pytest.raises(publish.LoadError, match=rule):
+            publish.load_run(frame, one.clean, one.ranking, store=store, run_id=run_id)
+    publish.load_run(manifest(spark, "r1", 0), one.clean.limit(0), one.ranking.limit(0), store=store, run_id="r1")
+    assert not (tmp_path / "store/facts/run_id=r1").exists()
+
     root = str(tmp_path / "pub")
     for _ in range(2):
         publish.publish(one, manifest(spark, "r1", 2), root, "r1")

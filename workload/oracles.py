@@ -65,8 +65,8 @@ gaps AS (
          lpad(CAST(i % 12 + 1 AS VARCHAR), 2, '0') AS periodo
   FROM (SELECT unnest(generate_series((SELECT min(i) FROM idx), (SELECT max(i) FROM idx))) AS i)
   WHERE i NOT IN (SELECT i FROM idx))"""
-_LARGE = ("SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS periodo FROM orders "
-          "WHERE o_totalprice >= 499000")
+_KEPT_MONTHS = ("SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS periodo FROM orders "
+          "WHERE (year(o_orderdate) * 12 + month(o_orderdate)) % 5 <> 0")
 
 _P = "'^[0-9]{4}-(0[1-9]|1[0-2])$'"
 _RUN_RULES = {
@@ -168,18 +168,19 @@ ORACLES = {
     "monthly_ranking": f"""WITH {A.RANKING} SELECT *, row_number() OVER (
     PARTITION BY periodo, categoria_id
     ORDER BY total_monto DESC, parlamentario_nombre, parlamentario_id) AS rank FROM r""",
-    "category_catalogue": f"""WITH {A.CLASSIFIED},
-w AS (SELECT categoria_id, categoria_raw, count(*) AS n, min(o) AS first FROM c GROUP BY 1, 2),
-vs AS (SELECT categoria_id, count(*) AS raw_variant_count,
-         string_agg(categoria_raw || ' (' || n || ')', ' | ' ORDER BY n DESC, first)
-           AS raw_variants FROM w GROUP BY 1)
+    "category_catalogue": f"""WITH {A.CLASSIFIED}
   SELECT categoria_id, arg_min(categoria_nombre, o) AS categoria_nombre,
     arg_min(categoria_key, o) AS categoria_key, count(*) AS rows,
     count(*) FILTER (row_status = 'ok') AS included_rows,
     count(*) FILTER (row_status <> 'ok') AS excluded_rows,
     CAST(coalesce(sum(monto_num) FILTER (row_status = 'ok'), 0) AS BIGINT) AS total_monto,
-    any_value(raw_variant_count) AS raw_variant_count, any_value(raw_variants) AS raw_variants
-  FROM c JOIN vs USING (categoria_id) GROUP BY 1""",
+    count(DISTINCT categoria_raw) AS raw_variant_count
+  FROM c GROUP BY 1""",
+    "category_spellings": f"""WITH {A.CLASSIFIED},
+w AS (SELECT categoria_id, categoria_raw, count(*) AS rows, min(o) AS first FROM c GROUP BY 1, 2)
+  SELECT categoria_id, categoria_raw, rows, categoria_raw || ' (' || rows || ')' AS rendered,
+    row_number() OVER (PARTITION BY categoria_id ORDER BY rows DESC, first) AS position
+  FROM w""",
     "category_variants": f"""WITH {A.CLASSIFIED}
   SELECT categoria_id, categoria_nombre, categoria_key, categoria_raw, count(*) AS rows,
     count(*) FILTER (row_status = 'ok') AS included_rows,
@@ -190,9 +191,9 @@ vs AS (SELECT categoria_id, count(*) AS raw_variant_count,
     UNION SELECT strftime(o_orderdate, '%Y-%m') FROM orders''')}
   SELECT (SELECT count(*) FROM have) AS count, (SELECT min(periodo) FROM have) AS min,
     (SELECT max(periodo) FROM have) AS max, {_MISSING} AS missing_in_range""",
-    "missing_periods": f"WITH {_GAPS.format(source=_LARGE)} SELECT periodo FROM gaps",
+    "missing_periods": f"WITH {_GAPS.format(source=_KEPT_MONTHS)} SELECT periodo FROM gaps",
     "public_missing_periods":
-        f"WITH {_GAPS.format(source=_LARGE)} SELECT periodo FROM gaps WHERE periodo >= '1998-06'",
+        f"WITH {_GAPS.format(source=_KEPT_MONTHS)} SELECT periodo FROM gaps WHERE periodo >= '1998-06'",
     "selected_periods": """
   SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS periodo FROM lineitem
   WHERE year(l_shipdate) = 1999 AND strftime(l_shipdate, '%Y-%m') BETWEEN '1999-03' AND '2000-02'
