@@ -5,7 +5,8 @@
 2. Equal sets are one node. In each band bucket all nodes are candidates of one pivot only, so a
    bucket of any size gives a pair per member. Packed signatures of the pair are compared by bit
    counts, corrected for the chance that differing minima agree in their low bits. Pairs that
-   could be near the threshold tie nodes into families.
+   could be near the threshold tie nodes into families. Nodes far from their pivot meet again in
+   buckets of two bands: two sets of similarity 0.8 share about 90 of these, others of 0.5 one.
 3. Members of a family are compared on their full sets: whatever lies within the threshold is
    linked, not just with the pivot. Families are dealt in blocks of bounded size, each pair of
    blocks to one task; inside, nodes close to a well connected one are linked first, and the rest
@@ -19,6 +20,7 @@ probability (1 - 0.8**5)**44 = 2.6e-8.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -129,16 +131,33 @@ def estimate(left: str, right: str):
     return F.expr(f"((1 - ({differ}) / {HASHES}D) - {chance}D) / {1 - chance}D")
 
 
-def families(nodes: DataFrame, floor: float) -> DataFrame:
-    """node and family of nodes that may be near another one. ``nodes``: node, bands, signature."""
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+def near_pivots(keyed: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
+    """node, pivot, near of the pairs of a node and the smallest node that has a key in common."""
     pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
     pivots = pivots.where("pivot <> last").select("key", "pivot")
     pairs = keyed.join(pivots, "key").where("node <> pivot").select("node", "pivot").distinct()
     left = nodes.select("node", F.col("signature").alias("x"))
     right = nodes.select(F.col("node").alias("pivot"), F.col("signature").alias("y"))
-    near = pairs.join(left, "node").join(right, "pivot").where(estimate("x", "y") >= floor)
-    return components(near.selectExpr("node AS a", "pivot AS b")).withColumnRenamed("label", "family")
+    both = pairs.join(left, "node").join(right, "pivot")
+    return materialize(both.select("node", "pivot", (estimate("x", "y") >= floor).alias("near")), "pivots")
+
+
+def families(nodes: DataFrame, floor: float) -> DataFrame:
+    """node and family of nodes that may be near another one. ``nodes``: node, bands, signature.
+
+    Nodes far from a bucket's pivot may be near each other: they meet again in finer buckets, by
+    the shared key together with each other band.
+    """
+    judged = near_pivots(nodes.select("node", F.explode("bands").alias("key")), nodes, floor)
+    far = judged.where("NOT near").join(nodes.select("node", "bands"), "node").join(
+        nodes.select(F.col("node").alias("pivot"), F.col("bands").alias("pivot_bands")), "pivot")
+    far = far.select("node", "bands", F.explode(F.array_intersect("bands", "pivot_bands")).alias("shared"))
+    finer = far.select("node", F.explode(F.expr(
+        "transform(filter(bands, b -> b <> shared), b -> b ^ shared)")).alias("key")).distinct()
+    near = reduce(DataFrame.unionAll, [
+        found.where("near").selectExpr("node AS a", "pivot AS b")
+        for found in (judged, near_pivots(finer, nodes, floor))])
+    return components(near).withColumnRenamed("label", "family")
 
 
 class Forest:
