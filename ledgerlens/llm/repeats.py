@@ -39,6 +39,8 @@ LENGTH, GRAM, PERIOD = 200, 40, 32
 BUCKET_RUNS = 8192
 #: Bytes of runs that are laid out and sorted together, whole buckets at a time.
 SORT_BYTES = 2 << 20
+#: Share of the counted rows beyond which a key is hot.
+HEAVY = 1 / 2000
 #: Bytes of text hashed together.
 TEXT_BYTES = 8 << 20
 
@@ -389,20 +391,32 @@ def counted_spans(cut: DataFrame) -> DataFrame:
     return hits.select("doc_id", "row_key", "span_start", (F.col("span_start") + LENGTH).alias("span_end"))
 
 
+def counted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is among ``keys``, which are distinct, with the n rows that each key has.
+
+    Keys of more than a HEAVY part of all rows are at most 1 / HEAVY: they are broadcast, and their
+    rows stay where they are. The rest meets in a shuffle, in which no key is hot.
+    """
+    least = (keys.agg(F.sum("n")).first()[0] or 0) * HEAVY
+    heavy = F.broadcast(keys.where(F.col("n") > least))
+    light = keys.where(F.col("n") <= least)
+    return rows.join(heavy, on).unionByName(rows.join(heavy, on, "left_anti").join(light, on))
+
+
 def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """doc_id, row_key, span_start, span_end of byte spans that are covered by repeats."""
     found = materialize(runs(docs), "runs")
-    often = found.groupBy("bucket").count().where("count > 1").select("bucket")
-    shared = materialize(found.join(often, "bucket", "left_semi"), "shared-runs")
+    often = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(counted(found, materialize(often, "buckets"), ["bucket"]).drop("n"), "shared-runs")
     place = F.struct("doc_id", "row_key", "start", "windows", "at")
     contents = shared.groupBy("bucket", "content").agg(F.count("*").alias("runs"), F.min(place).alias("one"))
     contents = materialize(contents, "contents")
-    whole = shared.join(contents.where("runs > 1").select("bucket", "content"),
-                        ["bucket", "content"], "left_semi")
+    copied = contents.where("runs > 1").select("bucket", "content", F.col("runs").alias("n"))
+    whole = counted(shared, copied, ["bucket", "content"])
     whole = whole.select("doc_id", "row_key", F.col("start").alias("span_start"),
                          (F.col("start") + F.col("windows") + LENGTH - 1).alias("span_end"))
     several = contents.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    contested = contents.join(several, "bucket").select(
+    contested = counted(contents, materialize(several, "several"), ["bucket"]).select(
         "one.*", "bucket", (F.col("n") > BUCKET_RUNS).alias("big"))
     cut = materialize(contested_texts(contested, texts), "contested")
     return reduce(DataFrame.unionAll, [whole, sorted_spans(cut), counted_spans(cut)])

@@ -93,6 +93,14 @@ def test_blocks_of_a_family_link_across(spark, monkeypatch):
     assert sorted((tuple(r)[:3] for r in found), key=key) == sorted(brute_components(rows, 2), key=key)
 
 
+def test_nodes_far_from_their_pivot_meet_again(spark):
+    near, far = [0] * near_dups.SIGNATURE_WORDS, [-1] * near_dups.SIGNATURE_WORDS
+    nodes = spark.createDataFrame(
+        [(1, [11, 12, 13], far), (2, [11, 12, 20], near), (3, [11, 12, 30], near), (4, [40], near), (5, [13], near)],
+        "node bigint, bands array<bigint>, signature array<bigint>")
+    assert {tuple(r) for r in near_dups.families(nodes, 0.55).collect()} == {(2, 2), (3, 2)}
+
+
 def test_linked_is_complete():
     draw = np.random.default_rng(1)
     base = draw.integers(0, 2**60, 60).astype(np.uint64)
@@ -168,9 +176,10 @@ def brute_repeats(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most", [8192, 2])
-def test_repeats_match_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "heavy"), [(8192, 1 / 2000), (2, 0.1)])
+def test_repeats_match_brute_force(spark, monkeypatch, most, heavy):
     monkeypatch.setattr(repeats, "BUCKET_RUNS", most)
+    monkeypatch.setattr(repeats, "HEAVY", heavy)
     draw = random.Random(3)
     passage = "".join(draw.choices("abcdefgh é", k=420))
     rows = [(1, "a" * 700), (2, "ab" * 260), (3, "x" * 199), (4, "é" * 150), (4, "é" * 150), (None, passage)]
