@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontaminate, kd_search, near_dups, ngram_lm, pieces, quality, repeats, secret_scan, token_files, toxicity
+from . import conversations, decontaminate, kd_search, near_dups, ngram_lm, pieces, quality, repeats, secret_scan, token_files, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -69,6 +69,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_repeats": op9_repeats,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -124,4 +129,79 @@ ranked AS (
     PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM scores)
 SELECT * FROM ranked WHERE rank <= 10""",
+    # the crc of a key byte by byte, then a walk over the rows with the best repair for each state
+    "op11_conversation_repair": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([CAST(i AS UBIGINT)], CAST(range(8) AS UBIGINT[])),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(
+    string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+    lambda x: CAST(ord(x) AS UBIGINT)) AS k
+  FROM conversations),
+drawn AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+    list_concat([CAST(4294967295 AS UBIGINT)], k),
+    lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)]))) % 20 AS draw
+  FROM keyed, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN draw = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM drawn WHERE draw <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos,
+    left(role, 1) AS initial, right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS final
+  FROM damaged),
+marked AS (
+  SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier,
+    CASE WHEN final = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+    max(pos) AS n
+  FROM marked GROUP BY conv_id),
+inserts(s, way, word, cost, lines) AS (
+  VALUES (0, 0, '', 0, []::VARCHAR[]), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []),
+    (0, 2, 'I', 3, ['user:']), (1, 2, 'I', 3, ['user:']), (3, 2, 'I', 3, ['user:']),
+    (2, 3, 'I', 3, ['assistant:']), (0, 3, 'II', 6, ['user:', 'assistant:']),
+    (1, 3, 'II', 6, ['user:', 'assistant:']), (3, 3, 'II', 6, ['user:', 'assistant:'])),
+moves(way, initial, letter, t) AS (
+  VALUES (0, 's', 'K', 1), (0, 'u', 'K', 2), (1, 'u', 'K', 2), (3, 'u', 'K', 2), (2, 'a', 'K', 3),
+    (0, NULL, 'R', 2), (1, NULL, 'R', 2), (2, NULL, 'R', 3), (3, NULL, 'R', 2),
+    (0, NULL, 'D', 0), (1, NULL, 'D', 1), (2, NULL, 'D', 2), (3, NULL, 'D', 3)),
+walk(conv_id, pos, s, best) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': []::VARCHAR[]} FROM figures
+  UNION ALL
+  SELECT w.conv_id, m.pos, v.t, min({
+    'cost': w.best.cost + i.cost + CASE v.letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+      + CASE WHEN m.fault = 'truncated' AND v.letter <> 'D' THEN 3 ELSE 0 END,
+    'audit': w.best.audit || i.word || v.letter,
+    'lines': list_concat(w.best.lines, i.lines, CASE v.letter WHEN 'D' THEN []
+      WHEN 'K' THEN [m.role || ':' || m.text]
+      ELSE [CASE v.t WHEN 2 THEN 'user:' ELSE 'assistant:' END || m.text] END)})
+  FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.pos = w.pos + 1
+    JOIN inserts i ON i.s = w.s
+    JOIN moves v ON v.way = i.way AND coalesce(v.initial, m.initial) = m.initial
+      AND (v.letter = 'D' OR m.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY w.conv_id, m.pos, v.t),
+ended AS (
+  SELECT w.conv_id, min({'cost': w.best.cost + i.cost, 'audit': w.best.audit || i.word,
+    'lines': list_concat(w.best.lines, i.lines)}) AS best
+  FROM walk w JOIN figures f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.pos
+    JOIN inserts i ON i.s = w.s AND i.way IN (0, 3)
+  GROUP BY w.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.best.cost, 0) AS cost,
+  coalesce(e.best.audit, '') AS audit, sha256(coalesce(array_to_string(e.best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+  LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
