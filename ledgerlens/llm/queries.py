@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import conversations, decontaminate, kd_search, near_dups, ngram_lm, pieces, quality, repeats, secret_scan, token_files, toxicity
+from . import conversations, decontaminate, kd_search, near_dups, ngram_lm, pieces, quality, repeats, secret_scan, simhash, token_files, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -73,6 +73,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_toxicity": op10_toxicity,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_simhash": op12_simhash,
 }
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
