@@ -21,8 +21,10 @@ from .word_features import gram_means, labelled_sample, word_features
 
 WORD_BITS, GRAM_BITS = 16, 16
 FEATURES = (1 << WORD_BITS) + (1 << GRAM_BITS)
-#: The regression learns from at most so many rows of each grade.
-SAMPLE = 1500
+#: The regression learns from at most so many doc_ids of each grade and bytes of whole texts.
+SAMPLE, SAMPLE_BYTES = 1500, 6 << 20
+#: Bytes of text taken at a time.
+TEXT_BYTES = 3 << 20
 STEPS, RATE, DECAY = 120, 0.3, 1e-4
 
 
@@ -60,6 +62,8 @@ def text_features(text: pa.Array):
 
 def train(keys: list[np.ndarray], shares: list[np.ndarray], grades: list[int], n_grades: int) -> Model:
     """Maximum likelihood with weight decay, by Adam over all rows; thresholds stay ordered."""
+    if not grades:  # nothing is known, so no grade over 0 is likely
+        return Model(np.zeros(FEATURES, np.float32), np.full(n_grades - 1, np.inf))
     row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     key = np.concatenate([np.zeros(0, np.int32), *keys])
     share = np.concatenate([np.zeros(0, np.float32), *shares])
@@ -96,13 +100,14 @@ def train(keys: list[np.ndarray], shares: list[np.ndarray], grades: list[int], n
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` rated rows of each grade; whole texts, as features.
+    """A model from at most ``sample`` rated doc_ids of each grade; whole texts, as features.
 
-    ``ratings`` has doc_id and what ``grade`` needs; null grades are left out.
+    ``ratings`` has doc_id and what ``grade`` needs; null grades are left out. Without any rated row
+    every text has grade 0 and none is selected.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=TEXT_BYTES):
             keys, shares, ends = text_features(chunk.column("text"))
             bounds = pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_pydict({
@@ -110,7 +115,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, sampl
                 "keys": pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(keys))),
                 "shares": pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(shares)))})
 
-    rows = labelled_sample(docs, ratings, grade, {k: sample for k in range(n_grades)})
+    rows = labelled_sample(docs, ratings, grade, {k: sample for k in range(n_grades)}, SAMPLE_BYTES)
     table = rows.select("doc_id", "text", "label").mapInArrow(
         features, "doc_id bigint, label int, keys array<int>, shares array<float>").toArrow()
     table = table.sort_by("doc_id")
@@ -131,7 +136,7 @@ def grade_texts(docs: DataFrame, model: Model, select_grade: int, select_at: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         of_word, of_gram = model.weights[:1 << WORD_BITS], model.weights[1 << WORD_BITS:]
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=TEXT_BYTES):
             found = words(chunk.column("text"))
             count = np.diff(found.offsets)
             score = np.zeros(chunk.num_rows)

@@ -1,14 +1,15 @@
 """Operator 12: SimHash near-duplicate groups by covering with anchor points.
 
-A text's fingerprint has 64 bits: a bit is 1 where over half of its shingles' hashes have it. Two
-fingerprints that differ in at most 4 bits differ in at most 2 bits of one half, so each half of 32
-bits has anchors of its own: the words of the perfect binary Golay code in 23 bits, whose covering
-radius is 3, with every value of the other 9 bits. A fingerprint is at home at the one anchor within
-radius 3, and visits every anchor within 3 + 2, on average 106 of the 2**21. Whoever differs from it
-in 2 bits of that half visits its home, so residents of an anchor are compared with its visitors, all
-64 bits, and nothing else is.
-
-Visits to anchors where nobody lives are dropped by a bitmap of all anchors, half a megabyte at any
+A text's fingerprint has 64 bits: a bit is 1 where over half of its shingles' hashes have it. It is
+cut into three parts. Two fingerprints that differ in at most 4 bits differ in at most 2 bits of some
+two parts together, so each pair of parts has anchors of its own: pairs of words of the binary Golay
+code in 23 bits, whose covering radius is 3 and which is perfect, one word within that radius of any
+23 bits. A fingerprint is at home at the anchor within radius 3 in both parts, and visits every anchor
+within 3 + 2 in one, or 3 + 1 in both, on average 61 of the 2**24. Whoever differs from it in 2 bits of
+those parts visits its home, so residents of an anchor are compared with its visitors, all 64 bits,
+and nothing else is.
+
+Visits to anchors where nobody lives are dropped by a bitmap of all anchors, six megabytes at any
 corpus size. Visitors of a crowded anchor are dealt over several tasks, each with all residents; the
 residents are at most RESIDENTS. Anchors with more (a great family of close copies) take an exact way
 without pairs: two fingerprints differ in at most 4 bits if and only if some point is within 2 bits of
@@ -35,14 +36,15 @@ from .arrow_text import chunks, raw, words
 from .components import components
 
 SHINGLE, SEED, BITS = 4, 42, 64
-#: Differing bits of linked fingerprints, and of one half of them.
-DISTANCE, HALF_DISTANCE = 4, 2
+#: Differing bits of linked fingerprints, and the least of them in two of three parts.
+DISTANCE, PAIR_DISTANCE = 4, 2
 #: Bytes of text and number of shingles taken at a time.
 TEXT_BYTES, SHINGLES = 4 << 20, 1 << 18
 #: Generator polynomial, length, check bits and covering radius of the Golay code.
 GENERATOR, LENGTH, CHECK, RADIUS = 0b101011100011, 23, 11, 3
-FREE = 32 - LENGTH
-ANCHOR_BITS = LENGTH - CHECK + FREE
+INFORMATION = LENGTH - CHECK
+#: Bits of a fingerprint where its parts begin and end, and the pairs of parts.
+PARTS, PAIRS = (0, 22, 43, 64), ((0, 1), (0, 2), (1, 2))
 #: Residents of an anchor that are compared, and its visitors in one task.
 RESIDENTS, CROWD = 2048, 1 << 16
 
@@ -101,9 +103,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 class Covering(NamedTuple):
     remainder: np.ndarray  # of a word of LENGTH bits, what identifies its coset
-    leader: np.ndarray     # of a coset, the flips that lead home
-    bounds: np.ndarray     # of a coset, its part of ``flips``
-    flips: np.ndarray      # flips of a half that lead to each anchor visited
+    #: Flips that lead from a coset's words to code words within RADIUS, and to those one and two
+    #: bits further off: where each coset's begin, and the flips of all cosets.
+    rings: list[tuple[np.ndarray, np.ndarray]]
 
 
 def flips_of(n_bits: int, weight: int) -> np.ndarray:
@@ -116,63 +118,61 @@ def covering() -> Covering:
     remainder = np.arange(1 << LENGTH, dtype=np.uint32)
     for bit in range(LENGTH - 1, CHECK - 1, -1):
         remainder ^= (remainder >> np.uint32(bit) & np.uint32(1)) * np.uint32(GENERATOR << (bit - CHECK))
-    leader = np.zeros(1 << CHECK, np.uint32)
-    near = [flips_of(LENGTH, weight) for weight in range(RADIUS + HALF_DISTANCE + 1)]
-    for flips in near[:RADIUS + 1]:
-        leader[remainder[flips]] = flips  # perfect: one word of weight up to 3 in each coset
-    coset, moves = [], []
-    for weight in range(HALF_DISTANCE + 1):
-        for free in flips_of(FREE, weight):
-            for flips in near[:RADIUS + HALF_DISTANCE - weight + 1]:
-                coset.append(remainder[flips])
-                moves.append(flips | free << np.uint32(LENGTH))
-    coset, moves = np.concatenate(coset), np.concatenate(moves)
-    order = np.argsort(coset, kind="stable")
-    bounds = np.searchsorted(coset[order], np.arange((1 << CHECK) + 1))
-    return Covering(remainder.astype(np.uint16), leader, bounds, moves[order])
+    near = [np.concatenate([flips_of(LENGTH, weight) for weight in range(RADIUS + 1)])]
+    near += [flips_of(LENGTH, RADIUS + k) for k in range(1, PAIR_DISTANCE + 1)]
+    rings = []
+    for flips in near:
+        order = np.argsort(remainder[flips], kind="stable")
+        rings.append((np.searchsorted(remainder[flips][order], np.arange((1 << CHECK) + 1)), flips[order]))
+    return Covering(remainder.astype(np.uint16), rings)
 
 
-def halves(prints: np.ndarray) -> list[np.ndarray]:
-    return [(prints & np.uint64(0xFFFFFFFF)).astype(np.uint32), (prints >> np.uint64(32)).astype(np.uint32)]
+def parts_of(prints: np.ndarray) -> list[np.ndarray]:
+    return [(prints >> np.uint64(a) & np.uint64((1 << b - a) - 1)).astype(np.uint32)
+            for a, b in zip(PARTS[:-1], PARTS[1:], strict=True)]
 
 
-WORD = np.uint32((1 << LENGTH) - 1)
+def anchor_number(pair: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of an anchor: the pair of parts and its code words without their check bits."""
+    left, right = ((code >> np.uint32(CHECK)).astype(np.int64) for code in (left, right))
+    return (pair << INFORMATION | left) << INFORMATION | right
 
 
-def anchor_number(code: np.ndarray, half: int) -> np.ndarray:
-    """Number of an anchor: the half, the free bits and the code word without its check bits."""
-    return (code >> np.uint32(CHECK)).astype(np.int64) | half << ANCHOR_BITS
-
-
-def homes(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Home anchors of fingerprints in both halves."""
+def homes(prints: np.ndarray) -> list[np.ndarray]:
+    """Home anchors of fingerprints for each pair of parts."""
     cover = covering()
-    return tuple(anchor_number(x ^ cover.leader[cover.remainder[x & WORD]], half)
-                 for half, x in enumerate(halves(prints)))
+    codes = [x ^ cover.rings[0][1][cover.remainder[x]] for x in parts_of(prints)]  # one flip a coset
+    return [anchor_number(pair, codes[i], codes[j]) for pair, (i, j) in enumerate(PAIRS)]
 
 
-def visits(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of each half, the places of fingerprints in ``prints`` and the anchors that they visit."""
+def visits(prints: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Pairs of parts, places of fingerprints in ``prints``, and the anchors that they visit there."""
     cover = covering()
-    for half, x in enumerate(halves(prints)):
-        coset = cover.remainder[x & WORD].astype(np.int64)
-        begin, count = cover.bounds[coset], np.diff(cover.bounds)[coset]
-        place = np.repeat(np.arange(len(x)), count)
-        step = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
-        yield place, anchor_number(x[place] ^ cover.flips[begin[place] + step], half)
+    parts = parts_of(prints)
+    cosets = [cover.remainder[x].astype(np.int64) for x in parts]
+    for pair, (i, j) in enumerate(PAIRS):
+        for a in range(PAIR_DISTANCE + 1):
+            for b in range(PAIR_DISTANCE + 1 - a):
+                (left, left_flips), (right, right_flips) = cover.rings[a], cover.rings[b]
+                many = np.diff(right)[cosets[j]]
+                count = np.diff(left)[cosets[i]] * many
+                place = np.repeat(np.arange(len(prints)), count)
+                step = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+                x = parts[i][place] ^ left_flips[left[cosets[i]][place] + step // many[place]]
+                y = parts[j][place] ^ right_flips[right[cosets[j]][place] + step % many[place]]
+                yield pair, place, anchor_number(pair, x, y)
 
 
 def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """One bit per anchor, of a fixed size: rows of bitmaps with their number."""
+    """One bit per anchor, of a fixed size: Spark's bitmaps of 2**15 bits, put side by side."""
     place = F.col("anchor") + 1
     rows = anchors.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    out = np.zeros(2 << ANCHOR_BITS, np.bool_)
+    out = np.zeros(len(PAIRS) << 2 * INFORMATION - 3, np.uint8)
     for row in rows:
-        begin = (row.bucket - 1) << 15
-        part = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")[:len(out) - begin]
-        out[begin:begin + len(part)] = part
-    return np.packbits(out)
+        begin = (row.bucket - 1) << 12
+        out[begin:begin + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return out
 
 
 def _unsigned(column: pa.Array) -> np.ndarray:
@@ -180,7 +180,7 @@ def _unsigned(column: pa.Array) -> np.ndarray:
 
 
 def _has(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    return bitmap[anchors >> 3] >> (7 - (anchors & 7)).astype(np.uint8) & 1 == 1
+    return bitmap[anchors >> 3] >> (anchors & 7).astype(np.uint8) & 1 == 1
 
 
 def home_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +199,12 @@ def visit_rows(maps):
                 prints = _unsigned(batch.column("fingerprint").slice(begin, 4096))
                 own = homes(prints)
                 great = np.zeros(len(prints), bool)
-                for half, (place, anchors) in enumerate(visits(prints)):
+                for pair, place, anchors in visits(prints):
                     packed = _has(hot, anchors)
                     great[place[packed]] = True
                     kept = _has(lived, anchors) & ~packed
                     place, anchors = place[kept], anchors[kept]
-                    yield _visits(anchors, prints[place], anchors == own[half][place])
+                    yield _visits(anchors, prints[place], anchors == own[pair][place])
                 yield _visits(np.full(int(great.sum()), -1), prints[great], np.zeros(int(great.sum()), bool))
 
     return run

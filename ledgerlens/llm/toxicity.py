@@ -25,10 +25,8 @@ WORD_BITS, GRAM_BITS, WORD_SIZE, GRAM_SIZE = 13, 15, 4, 12
 HIDDEN, ATTENTION = 8, 8
 INPUT = WORD_SIZE + GRAM_SIZE
 STATE = 2 * HIDDEN + INPUT
-#: The network learns from at most so many labelled documents of either label ...
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 1600
-#: ... and of each from at most so many of its windows, evenly spread.
-WINDOWS_A_DOCUMENT = 40
+#: The network learns from at most so many labelled doc_ids of either label and bytes of whole texts.
+TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_BYTES = 1000, 1600, 10 << 20
 #: Windows are chosen anew after each CHOOSE rounds.
 ROUNDS, RANDOM_ROUNDS, CHOOSE, BATCH, RATE = 13, 3, 2, 128, 0.01
 THRESHOLD = 0.7
@@ -155,11 +153,9 @@ class Network:
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
 
-def windows_of(index: np.ndarray, offsets: np.ndarray, most: int | None = None):
+def windows_of(index: np.ndarray, offsets: np.ndarray):
     """Windows (window, time) of word numbers, -1 past the end; the text of each window."""
     starts = [window_starts(int(n)) for n in np.diff(offsets)]
-    if most:
-        starts = [s if len(s) <= most else s[np.linspace(0, len(s) - 1, most).astype(int)] for s in starts]
     text = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
     begin = np.concatenate([np.zeros(0, np.int64), *starts]) + offsets[text]
     at = begin[:, None] + np.arange(WINDOW)
@@ -172,7 +168,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Network:
     """A network from whole texts and their labels (0 or 1)."""
     network, draw = Network(seed), np.random.default_rng(seed)
     found = words(pa.array(texts, pa.large_string()))
-    windows, text = windows_of(found.index, found.offsets, WINDOWS_A_DOCUMENT)
+    windows, text = windows_of(found.index, found.offsets)
     if not len(windows):
         return network
     features = word_features(found.vocabulary, WORD_BITS, GRAM_BITS)
@@ -251,22 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, hold_out: int = 3) -> Network:
     Without labelled rows the network is untrained and its scores say nothing.
     """
     learnable = labels.where(remainder("doc_id", hold_out) != 1)
-    sample = labelled_sample(docs, learnable, F.col("toxic"), {1: TOXIC_SAMPLE, 0: CLEAN_SAMPLE})
-    rows = sample.select("text", "label", "doc_id").mapInArrow(_training_text, "text string, label int, doc_id bigint")
-    rows = sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))
+    sample = labelled_sample(
+        docs, learnable, F.col("toxic"), {1: TOXIC_SAMPLE, 0: CLEAN_SAMPLE}, SAMPLE_BYTES)
+    rows = sorted(sample.collect(), key=lambda r: r.doc_id)  # SAMPLE_BYTES of text at most
     return train([r.text for r in rows], [r.label for r in rows])
-
-
-def _training_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of more than WINDOWS_A_DOCUMENT windows cut to words of such windows: bounded rows."""
-    most = WINDOWS_A_DOCUMENT
-    for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            found = (text or "").split()
-            starts = window_starts(len(found))
-            if len(starts) > most:
-                starts = starts[np.linspace(0, len(starts) - 1, most).astype(int)]
-                found = [w for s in starts for w in found[s:s + WINDOW]]
-            out.append(" ".join(found))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[1:]], names=batch.schema.names)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .arrow_text import MIX, mixed, raw, string_hashes
 
 #: Bytes in a character feature, the marks around a word included.
@@ -61,11 +62,14 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, limits: dict[int, int]) -> DataFrame:
-    """doc_id, text, label of at most limits[label] labelled rows of each label.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: Column, limits: dict[int, int], most_bytes: int,
+) -> DataFrame:
+    """doc_id, text, label of at most limits[label] doc_ids of each label and ``most_bytes`` of text.
 
-    Rows are taken by the hash of their doc_id, so the sample is the same in every run. Of several
-    labels of a doc_id the greatest counts; null labels and doc_ids are left out.
+    Whole texts, taken by the hash of their doc_id, so the sample is the same in every run; a text of
+    over an eighth of ``most_bytes`` is not learnt from. A doc_id counts once: of its labels the
+    greatest, of its texts the least. Null labels and doc_ids are left out.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), label.cast("int").alias("label"))
     known = known.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -74,5 +78,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, limits: d
     sample = parts[0]
     for part in parts[1:]:
         sample = sample.unionAll(part)
-    rows = docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "CAST(text AS string) AS text")
-    return rows.join(F.broadcast(sample), "doc_id")  # of the size given by the limits
+    rows = docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "coalesce(CAST(text AS string), '') AS text")
+    rows = rows.where(F.octet_length("text") <= most_bytes // 8)
+    rows = rows.join(F.broadcast(sample), "doc_id")  # of the size given by the limits
+    rows = materialize(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over no more rows than the limits give
+    sizes = rows.select("doc_id", F.octet_length("text").alias("size")).withColumn("total", F.sum("size").over(order))
+    return rows.join(F.broadcast(sizes.where(F.col("total") <= most_bytes).select("doc_id")), "doc_id")
