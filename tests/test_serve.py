@@ -3,8 +3,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.periods import usable_period_range
-from ledgerlens.operators import registry
-from ledgerlens.plans import normalize, publish, serve
+from ledgerlens.operators import digests, lineage, registry
+from ledgerlens.operators.quality import QualityGateError
+from ledgerlens.plans import normalize, publish, serve, store
+from ledgerlens.sources import csv_files, shared_files
 
 
 @pytest.fixture(scope="module")
@@ -94,59 +96,209 @@ def manifest(spark, run_id, rows):
               named_struct('name', 'ranking_mensual', 'row_count', 1L)) output_files""")
 
 
-def test_publish_load_and_serve(spark, expenses, tmp_path):
-    store = str(tmp_path / "store")
+def two_runs(expenses):
     one = normalize.normalize(expenses("""
         1 | 2025-01 | 7 | Uno | TRASLACION | 100
         2 | 2025-02 | 8 | Dos | DIFUSION   | 40"""), order_by=["pos"])
     two = normalize.normalize(
         expenses("1 | 2025-01 | 7 | Uno | TRASLACION | 900"), order_by=["pos"])
-    publish.load_run(manifest(spark, "r1", 2), one.clean, one.ranking, store=store, run_id="r1")
-    publish.load_run(manifest(spark, "r2", 1), two.clean, two.ranking, store=store, run_id="r2")
-    publish.load_run(manifest(spark, "r1", 2), one.clean, one.ranking, store=store, run_id="r1")
-    facts, table = (spark.read.parquet(f"{store}/{t}") for t in ("facts", "ranking"))
-    assert facts.count() == 3
-
-    def served():
-        view = serve.latest_ranking(
-            spark.read.parquet(f"{store}/ranking"), publish.read_registry(spark, f"{store}/runs"))
-        return {r.parlamentario_id: r.total_monto for r in serve.entity_summary(view).collect()}
-
-    assert served() == {"senado_unidad_7": 900}
-    runs = publish.read_registry(spark, f"{store}/runs")
-    assert sorted(map(tuple, runs.select("id", "run_id").collect())) == [(1, "r1"), (2, "r2")]
-    back = registry.set_run_status(runs, spark.sql("SELECT 'r2' run_id, 'error' status"))
-    publish.write_registry(back, f"{store}/runs")
-    assert served() == {"senado_unidad_7": 100, "senado_unidad_8": 40}
-    latest = serve.latest_facts(facts, publish.read_registry(spark, f"{store}/runs"))
-    assert latest.count() == 2
-    plan = serve.latest_ranking(table, publish.read_registry(spark, f"{store}/runs"))
-    assert "dynamicpruning" in plan._jdf.queryExecution().executedPlan().toString().lower()
-    publish.drop_run(spark, f"{store}/facts", "r2")
-    assert spark.read.parquet(f"{store}/facts").count() == 2
+    return one, two
+
+
+def unharmed(spark):
+    return spark.range(0).selectExpr("'' AS rule")
+
+
+def served(version):
+    view = serve.published(version.latest("ranking"))
+    return {r.parlamentario_id: r.total_monto for r in serve.entity_summary(view).collect()}
+
+
+def test_load_and_serve(spark, expenses, tmp_path):
+    root = str(tmp_path / "store")
+    one, two = two_runs(expenses)
+
+    def load(run_id, rows, result):
+        return publish.load_run(manifest(spark, run_id, rows), result.clean, result.ranking, unharmed(spark),
+                                store=root, run_id=run_id)
+
+    first = load("r1", 2, one)
+    load("r2", 1, two)
+    third = load("r1", 2, one)
+    assert served(third) == {"senado_unidad_7": 900}
+    assert served(first) == {"senado_unidad_7": 100, "senado_unidad_8": 40}  # an older version stays readable
+    assert third.number == 3 and third.table("facts").count() == 3
+    assert sorted(map(tuple, third.runs.select("id", "run_id").collect())) == [(1, "r1"), (2, "r2")]
+
+    back = publish.change_status(spark, root, spark.sql("SELECT 'r2' run_id, 'error' status"))
+    assert served(back) == {"senado_unidad_7": 100, "senado_unidad_8": 40}
+    assert serve.latest_facts(back.table("facts"), back.runs).count() == 2
+    plan = back.latest("ranking")._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
 
     broken = one.clean.withColumn("periodo", F.lit("2025-13"))
     with pytest.raises(publish.LoadError, match="period_format"):
-        publish.load_run(manifest(spark, "r3", 2), broken, one.ranking, store=store, run_id="r3")
-    assert spark.read.parquet(f"{store}/facts").where("run_id = 'r3'").count() == 0
-
+        publish.load_run(manifest(spark, "r3", 2), broken, one.ranking, unharmed(spark), store=root, run_id="r3")
+    changed = spark.sql("SELECT 'changed_part' AS rule")
+    with pytest.raises(publish.LoadError, match="changed_part"):
+        publish.load_run(manifest(spark, "r1", 2), one.clean, one.ranking, changed, store=root, run_id="r1")
     for run_id, frame, rule in (
             ("r9", manifest(spark, "r1", 2), "run_id_agreement"),
             ("r1", manifest(spark, "r1", 999), "row_count"),
             ("r1", manifest(spark, "r1", 2).withColumn("period_from", F.lit("2024-99")), "period_from")):
         with pytest.raises(publish.LoadError, match=rule):
-            publish.load_run(frame, one.clean, one.ranking, store=store, run_id=run_id)
-    publish.load_run(manifest(spark, "r1", 0), one.clean.limit(0), one.ranking.limit(0), store=store, run_id="r1")
-    assert not (tmp_path / "store/facts/run_id=r1").exists()
-
-    root = str(tmp_path / "pub")
-    for _ in range(2):
-        publish.publish(one, manifest(spark, "r1", 2), root, "r1")
-    base = f"{root}/senado/gastos_operacionales"
-    assert spark.read.csv(f"{base}/runs/r1/processed/clean", header=True).count() == 2
-    assert spark.read.json(f"{base}/latest/quality").first().clean_rows == 2
-    with pytest.raises(publish.LoadError, match="public_manifest_https"):
-        publish.check_load(manifest(spark, "r1", 2).withColumns({
-            "public_manifest_url": F.lit("http://x"), "output_files": F.expr(
-                "array(named_struct('name', 'clean'), named_struct('name', 'ranking_mensual'))")}),
-            spark.sql("SELECT 1 WHERE false"))
+            publish.load_run(frame, one.clean, one.ranking, unharmed(spark), store=root, run_id=run_id)
+    assert store.read_version(spark, root).number == back.number  # refused loads make no version
+    empty = publish.load_run(manifest(spark, "r1", 0), one.clean.limit(0), one.ranking.limit(0), unharmed(spark),
+                             store=root, run_id="r1")
+    assert empty.table("facts").where("run_id = 'r1'").count() == 0
+    assert empty.table("facts").count() == 1
+
+
+def some_runs(spark, *ids):
+    rows = ", ".join(f"'{i}'" for i in ids)
+    return spark.sql(f"SELECT CAST(null AS bigint) AS id, 'd' AS dataset, run_id, 'ok' AS status "
+                     f"FROM (SELECT explode(array({rows})) AS run_id)")
+
+
+def test_writers_at_one_time(spark, tmp_path, monkeypatch):
+    """Another writer commits between a writer's last look and its own commit."""
+    root = str(tmp_path / "store")
+
+    def rows(run_id, amount):
+        return {"facts": spark.createDataFrame([(run_id, "2025-01", amount)], "run_id string, periodo string, monto bigint")}
+
+    def total(version):
+        return {r.run_id: r.monto for r in version.table("facts").collect()}
+
+    begun = store.read_version(spark, root)
+    base = store.commit(begun, some_runs(spark, "a"), store.stage(rows("a", 1), root))
+    with pytest.raises(store.LoadConflict, match="a"):  # a first load of the same run, begun before it was there
+        store.commit(begun, some_runs(spark, "a"), store.stage(rows("a", 7), root))
+
+    create, others = shared_files.create_new, [("b", 2), ("c", 3)]
+
+    def late(spark_, address, text):
+        if others and address.endswith(".json"):
+            run_id, amount = others.pop()
+            monkeypatch.setattr(shared_files, "create_new", create)
+            store.commit(store.read_version(spark, root), some_runs(spark, run_id), store.stage(rows(run_id, amount), root))
+            monkeypatch.setattr(shared_files, "create_new", late if others else create)
+        return create(spark_, address, text)
+
+    monkeypatch.setattr(shared_files, "create_new", late)
+    mine = store.commit(base, some_runs(spark, "d"), store.stage(rows("d", 4), root))
+    assert mine.number == 4 and total(mine) == {"a": 1, "b": 2, "c": 3, "d": 4}
+    assert sorted(r.id for r in mine.runs.collect()) == [1, 2, 3, 4]
+
+    new = store.commit(mine, some_runs(spark, "a"), store.stage(rows("a", 10), root))
+    with pytest.raises(store.LoadConflict):
+        store.commit(mine, some_runs(spark, "a", "e"), store.stage(rows("a", 99), root))
+    assert total(store.read_version(spark, root)) == {"a": 10, "b": 2, "c": 3, "d": 4}
+    assert total(mine)["a"] == 1
+
+    assert store.drop_old(spark, root, ["facts"], grace_s=3600) == 0
+    assert store.drop_old(spark, root, ["facts"], grace_s=-5) > 0
+    assert len(list((tmp_path / "store/facts").iterdir())) == 4  # the loads of a, b, c and d
+    assert total(store.read_version(spark, root)) == total(new)
+
+
+def test_create_new(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    address = str(tmp_path / "deep/marker.json")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: shared_files.create_new(spark, address, f"writer {k}"), range(16)))
+    assert won.count(True) == 1
+    assert shared_files.read_text(spark, address) == f"writer {won.index(True)}"
+    assert [e.name for e in shared_files.children(spark, str(tmp_path / "deep"))] == ["marker.json"]
+    assert shared_files.children(spark, str(tmp_path / "none")) == []
+
+
+def test_publish_and_load_from_files(spark, expenses, tmp_path):
+    root, loaded = str(tmp_path / "pub"), str(tmp_path / "store")
+    one, _ = two_runs(expenses)
+    header = manifest(spark, "r1", 2).drop("output_files").first().asDict()
+    inputs = spark.sql("SELECT 'in' AS name, 'in.csv' AS local_path")
+    base = tmp_path / "pub/senado/gastos_operacionales"
+    half = base / "runs/r1/attempt-half/processed/clean"
+    half.mkdir(parents=True)  # of a publisher that died
+    (half / "part.csv").write_text("junk\n")
+    with pytest.raises(publish.LoadError, match="not published"):
+        publish.load_published(spark, root, "r1", store=loaded)
+    said = publish.publish(one, header, inputs, root=root, run_id="r1")
+    assert {n: o["row_count"] for n, o in said["outputs"].items()} == {
+        "clean": 2, "ranking_mensual": 2, "categorias": 2, "categorias_variantes": 2}
+    files = {p: p.stat().st_mtime_ns for p in (base / "runs/r1").rglob("*") if p.is_file()}
+    again = publish.publish(two_runs(expenses)[1], header, inputs, root=root, run_id="r1")
+    assert again == said
+    assert files == {p: p.stat().st_mtime_ns for p in (base / "runs/r1").rglob("*") if p.is_file()}
+    assert csv_files.read_csv(spark, str(base / "latest/clean")).count() == 2
+    assert spark.read.json(str(base / "latest/quality")).first().clean_rows == 2
+    assert publish.drop_unfinished(spark, str(base / "runs/r1"), grace_s=-5) == 1 and not half.exists()
+
+    assert served(publish.load_published(spark, root, "r1", store=loaded)) == {
+        "senado_unidad_7": 100, "senado_unidad_8": 40}
+    part = next(p for p in (base / "runs/r1").rglob("processed/clean/*.csv") if p.stat().st_size > 500)
+    part.write_bytes(part.read_bytes().replace(b"TRASLACION", b"TRASLACIOM"))
+    (part.parent / f".{part.name}.crc").unlink()  # the local file system's own check
+    with pytest.raises(publish.LoadError, match="changed_part"):
+        publish.load_published(spark, root, "r1", store=loaded)
+    with pytest.raises(QualityGateError):
+        publish.publish(normalize.normalize(expenses("1 | 2025-01 | 7 | Uno | NOTA: x | "), order_by=["pos"]),
+                        header, inputs, root=root, run_id="r2")
+    assert not (base / "runs/r2").exists()
+
+
+def test_two_publishers(spark, tmp_path):
+    """Whoever finishes first wins; the other's files go."""
+    folder = str(tmp_path / "run")
+
+    def slow(attempt):
+        (tmp_path / "run").mkdir(exist_ok=True)
+        publish.once(spark, folder, lambda a: write(a, "quick"))
+        return write(attempt, "slow")
+
+    def write(attempt, name):
+        spark.range(1).write.parquet(f"{attempt}/rows")
+        return {"by": name}
+
+    assert publish.once(spark, folder, slow)["by"] == "quick"
+    assert sorted(p.name[:8] for p in (tmp_path / "run").iterdir() if not p.name.startswith(".")) == ["attempt-", "finished"]
+
+
+def test_archive_keeps_bytes(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    bodies = {"a.json": b'{"x": 1}\r\n\xef\xbb\xbf', "b c.bin": bytes(range(256)) * 9, "d.json": b"\n"}
+    for name, data in bodies.items():
+        (raw / name).write_bytes(data)
+    records = lineage.file_fingerprints(spark, str(raw))
+    records = spark.createDataFrame(records.collect(), records.schema)
+    said = publish.archive_raw(spark, str(raw), records, str(tmp_path / "pub"), "r1")
+    assert said["files"] == 3
+    kept = spark.read.parquet(f"{said['folder']}/files")
+    assert {r.raw_file.rsplit("/", 1)[1]: bytes(r.content) for r in kept.collect()} == bodies
+    (raw / "a.json").write_bytes(b"changed")
+    assert publish.archive_raw(spark, str(raw), records, str(tmp_path / "pub"), "r1") == said
+    with pytest.raises(publish.PublishError, match="other_bytes"):
+        publish.archive_raw(spark, str(raw), records, str(tmp_path / "pub"), "r2")
+    (raw / "a.json").unlink()
+    with pytest.raises(publish.PublishError, match="not_archived"):
+        publish.archive_raw(spark, str(raw), records, str(tmp_path / "pub"), "r2")
+
+
+def test_digests_do_not_depend_on_files(spark):
+    rows = [(k % 7, None if k % 5 == 0 else f"t{k % 11}", k / 2) for k in range(100)]
+    frame = spark.createDataFrame(rows, "a int, b string, c double")
+    one = digests.table_digest(frame).first()
+    assert one.row_count == 100
+    assert digests.table_digest(frame.repartition(7, "b").orderBy("c")).first() == one
+    for other in (frame.limit(99), frame.unionAll(frame.limit(1)), frame.withColumn("b", F.coalesce("b", F.lit("")))):
+        assert digests.table_digest(other).first().digest != one.digest
+    shifted = spark.sql("SELECT 'x' AS a, cast(null AS string) AS b")
+    assert digests.table_digest(shifted).first() != digests.table_digest(shifted.select(
+        F.col("b").alias("a"), F.col("a").alias("b"))).first()
+    assert digests.table_digest(frame.limit(0)).first().row_count == 0
+    by_key = {r.a: r.digest for r in digests.table_digest(frame, "a").collect()}
+    assert by_key[3] == digests.table_digest(frame.where("a = 3").drop("a")).first().digest

@@ -469,4 +469,53 @@ WITH s AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS periodo FROM lineite
   SELECT 'run-' || ano AS run_id, count(*) AS rows, CAST(sum(monto) AS BIGINT) AS total
   FROM facts GROUP BY 1""",
     "publish_roundtrip": _VIEW + _SUMMARY.format(where="true"),
+    "publish_run": (_VIEW + _SUMMARY.format(where="true")).replace(
+        "CASE WHEN l_orderkey % 97 = 0 THEN '' ELSE l_orderkey || '-' || l_linenumber END AS source_id",
+        "'' AS source_id"),
+    "load_atomic": f"""WITH {A.RUN_FACTS},
+  seen AS (
+    SELECT 'before' AS reader, 'run-' || ano AS run_id, monto FROM facts
+    UNION ALL
+    SELECT 'after', 'run-' || ano, CASE WHEN ano >= 1998 THEN 2 * monto ELSE monto END FROM facts
+    UNION ALL
+    SELECT 'after', 'other', monto FROM facts WHERE ano = 1997)
+  SELECT reader, run_id, count(*) AS rows, CAST(sum(monto) AS BIGINT) AS total, 'refused' AS late_writer
+  FROM seen GROUP BY 1, 2""",
+    "load_refusals": """
+  SELECT run, rule, 0 AS version FROM (VALUES
+    ('blank_run', 'run_id'), ('other_run', 'run_id_agreement'), ('no_key', 'r2_manifest_key'),
+    ('no_url', 'public_manifest_url'), ('plain_url', 'public_manifest_https'),
+    ('odd_start', 'period_from'), ('odd_end', 'period_to'), ('backwards', 'period_order'),
+    ('no_clean', 'clean_output'), ('no_ranking', 'ranking_output'), ('other_count', 'row_count'),
+    ('changed_file', 'changed_part'), ('odd_status', 'row_status_allowed'), ('repeated_rank', 'rank'))
+    t(run, rule)
+  WHERE (SELECT count(*) FROM lineitem) > 0""",
+    "output_record_check": """
+  WITH named AS (
+    SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'intact' WHEN '2-HIGH' THEN 'missing'
+        WHEN '3-MEDIUM' THEN 'changed' WHEN '4-NOT SPECIFIED' THEN 'added' ELSE 'longer' END AS name,
+      CAST(o_orderkey AS VARCHAR) AS a, CAST(o_custkey AS VARCHAR) AS b, o_orderstatus AS c,
+      '"' || (o_orderkey % 7) || ' ' || chr(10) || ',á' AS d
+    FROM orders),
+  hashed AS (
+    SELECT name, sha256(length(a) || ':' || a || length(b) || ':' || b || length(c) || ':' || c
+      || length(d) || ':' || d) AS h FROM named),
+  summed AS (
+    SELECT name, count(*) AS n,
+      sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS s0, sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS s1,
+      sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)) AS s2, sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)) AS s3
+    FROM hashed GROUP BY 1)
+  SELECT name, '' AS rule, n, sha256(n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3) AS digest FROM summed
+  UNION ALL
+  SELECT * FROM (VALUES ('missing', 'missing_part', 1, ''), ('changed', 'changed_part', 1, ''),
+    ('added', 'added_part', 1, ''), ('longer', 'added_part', 1, ''), ('longer', 'row_count', 1, ''))""",
+    "archive_check": f"""WITH {A.X}
+  SELECT 'kept' AS state, 'pages' AS rule, CAST(sum(pages) AS BIGINT) AS n FROM (
+    SELECT CAST(ceil(count(*) / {C.PAGE_SIZE}) AS BIGINT) AS pages FROM x GROUP BY periodo)
+  UNION ALL SELECT 'longer', 'other_bytes', 1 UNION ALL SELECT 'fewer', 'not_archived', 1""",
+    "file_verdicts": """
+  SELECT CAST(page_id % 8 AS VARCHAR) AS bucket, CASE page_id % 8 WHEN 2 THEN 'no_sha256'
+      WHEN 3 THEN 'changed_file' WHEN 5 THEN 'missing_file' ELSE 'ok' END AS rule,
+    CASE WHEN page_id % 8 IN (2, 3, 5) THEN 0 ELSE count(DISTINCT sha256(html)) END AS bodies
+  FROM pages GROUP BY page_id % 8""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +11,13 @@ from ledgerlens import contract as C
 from ledgerlens.functions import casts as K
 from ledgerlens.functions import text as X
 from ledgerlens.functions.periods import index_label, month_index, usable_period_range
-from ledgerlens.operators import classify, lineage, period_sets, quality, ranking, registry, rules
+from ledgerlens.operators import classify, digests, lineage, period_sets, quality, ranking, registry, rules
 from ledgerlens.operators.numbering import number_rows
 from ledgerlens.plans import normalize as N
 from ledgerlens.plans import publish as P
 from ledgerlens.plans import serve
-from ledgerlens.session import scratch_path
+from ledgerlens.plans import store as V
+from ledgerlens.session import materialize, scratch_path
 from ledgerlens.sources import csv_files, raw_json
 from workload import facade as A
 
@@ -692,24 +695,173 @@ def load_idempotent(spark, sf):
         F.count(F.lit(1)).alias("rows"), F.sum("monto").alias("total"))
 
 
+def _manifest(spark, run_id: str, counts: dict[str, int], /, **changed) -> DataFrame:
+    """A pipeline manifest that may be loaded, but for the columns ``changed`` (as SQL)."""
+    key = f"{C.PUBLISH_PREFIX}/runs/{run_id}/pipeline_manifest.json"
+    files = ", ".join(f"named_struct('name', '{n}', 'row_count', {k}L)" for n, k in counts.items())
+    cells = {
+        "dataset": f"'{C.DATASET_NAME}'", "run_id": f"'{run_id}'",
+        "generated_at_utc": "'2026-01-01T00:00:00+00:00'", "period_from": "'1995-01'",
+        "period_to": "'2001-12'", "r2_manifest_key": f"'{key}'",
+        "public_manifest_url": f"'https://data.example/{key}'", "output_files": f"array({files})", **changed}
+    return spark.range(1).selectExpr(*[f"{value} AS {name}" for name, value in cells.items()])
+
+
+def _no_violations(spark) -> DataFrame:
+    return spark.range(0).selectExpr("'' AS rule")
+
+
 @query
 def publish_roundtrip(spark, sf):
     """Normalised expenses loaded as a run, registered, and served back from the store."""
     result = _normalized(spark, sf)
     store, run_id = scratch_path(spark, "store"), "20260101T000000Z"
-    key = f"{C.PUBLISH_PREFIX}/runs/{run_id}/pipeline_manifest.json"
-    record = lambda name, n: F.struct(F.lit(name).alias("name"), F.lit(n).alias("row_count"))
-    outputs = spark.range(1).select(F.array(
-        record("clean", result.clean.count()), record("ranking_mensual", result.ranking.count()),
-    ).alias("output_files"))
-    manifest = outputs.select(
-        F.lit(C.DATASET_NAME).alias("dataset"), F.lit(run_id).alias("run_id"),
-        F.lit("2026-01-01T00:00:00+00:00").alias("generated_at_utc"),
-        F.lit("1995-01").alias("period_from"), F.lit("2001-12").alias("period_to"),
-        F.lit(key).alias("r2_manifest_key"),
-        F.lit(f"https://data.example/{key}").alias("public_manifest_url"), "output_files")
-    P.load_run(manifest, result.clean, result.ranking, store=store, run_id=run_id)
-    view = serve.latest_ranking(
-        spark.read.parquet(f"{store}/ranking"), P.read_registry(spark, f"{store}/runs"),
-        published_from=A.PUBLISHED_FROM)
-    return serve.entity_summary(view)
+    manifest = _manifest(
+        spark, run_id, {"clean": result.clean.count(), "ranking_mensual": result.ranking.count()})
+    version = P.load_run(
+        manifest, result.clean, result.ranking, _no_violations(spark), store=store, run_id=run_id)
+    return serve.entity_summary(serve.published(version.latest("ranking"), A.PUBLISHED_FROM))
+
+
+@query
+def publish_run(spark, sf):
+    """A whole run: normalised, gated, published with records, checked, loaded from its files, served."""
+    expenses = A.expenses(spark, sf).withColumn("source_id", F.lit(""))  # ids repeat: the gate refuses them
+    result = N.normalize(expenses, A.entities(spark, sf), order_by=A.ORDER, source_path="lineitem")
+    root, store, run_id = scratch_path(spark, "published"), scratch_path(spark, "store"), "20260101T000000Z"
+    header = _manifest(spark, run_id, {"none": 0}).drop("output_files").first().asDict()
+    inputs = spark.range(1).selectExpr("'lineitem' AS name", "'lineitem' AS local_path")
+    P.publish(result, header, inputs, root=root, run_id=run_id, publication_from="1998-01")
+    version = P.load_published(spark, root, run_id, store=store)
+    return serve.entity_summary(serve.published(version.latest("ranking"), A.PUBLISHED_FROM))
+
+
+@query
+def load_atomic(spark, sf):
+    """What a reader that began before a reload sees, and one after it; a late writer is refused."""
+    store = scratch_path(spark, "versions")
+    facts = A.run_facts(spark, sf).withColumn("run_id", F.concat(F.lit("run-"), F.col("ano").cast("string")))
+
+    def runs(rows):
+        return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(None).cast("bigint").alias("id"), F.lit("lines").alias("dataset"), "run_id", "row_count",
+            F.lit("ok").alias("status"))
+
+    first = V.commit(V.read_version(spark, store), runs(facts), V.stage({"facts": facts}, store))
+    before = first.table("facts")
+    doubled = facts.where("ano >= 1998").withColumn("monto", 2 * F.col("monto"))
+    based_on = V.read_version(spark, store)
+    V.commit(based_on, runs(doubled), V.stage({"facts": doubled}, store))
+    try:  # began before that commit and brings one of its runs
+        V.commit(based_on, runs(doubled), V.stage({"facts": doubled.limit(0)}, store))
+        late = "committed"
+    except V.LoadConflict:
+        late = "refused"
+    # began before it too, with a run of its own
+    other = facts.where("ano = 1997").withColumn("run_id", F.lit("other"))
+    V.commit(based_on, runs(other), V.stage({"facts": other}, store))
+    after = V.read_version(spark, store).table("facts")
+    seen = [rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("monto").alias("total")).select(
+        F.lit(name).alias("reader"), "*", F.lit(late).alias("late_writer"))
+        for name, rows in (("before", before), ("after", after))]
+    return seen[0].unionByName(seen[1])
+
+
+@query
+def load_refusals(spark, sf):
+    """Runs that break one precondition each, and the rule that refuses them."""
+    result, run_id = _normalized(spark, sf), "20260101T000000Z"
+    store = scratch_path(spark, "store")
+    counts = {"clean": result.clean.count(), "ranking_mensual": result.ranking.count()}
+    base = dict(manifest=_manifest(spark, run_id, counts), clean=result.clean, ranking=result.ranking,
+                output_violations=_no_violations(spark))
+    changed = {name: _manifest(spark, run_id, counts, **{column: value}) for name, column, value in (
+        ("blank_run", "run_id", "' '"), ("other_run", "run_id", "'20250101T000000Z'"),
+        ("no_key", "r2_manifest_key", "''"), ("no_url", "public_manifest_url", "''"),
+        ("plain_url", "public_manifest_url", "'http://data.example/m.json'"),
+        ("odd_start", "period_from", "'1995-13'"), ("odd_end", "period_to", "'2001'"),
+        ("backwards", "period_to", "'1994-12'"))}
+    cases = {name: {"manifest": manifest} for name, manifest in changed.items()}
+    for name, listed in (("no_clean", {"ranking_mensual": 1}), ("no_ranking", {"clean": counts["clean"]}),
+                         ("other_count", {**counts, "clean": 7})):
+        cases[name] = {"manifest": _manifest(spark, run_id, listed)}
+    cases["changed_file"] = {"output_violations": spark.range(1).selectExpr("'changed_part' AS rule")}
+    cases["odd_status"] = {"clean": result.clean.withColumn("row_status", F.lit("otro"))}
+    cases["repeated_rank"] = {"ranking": result.ranking.withColumn("rank", F.lit(1))}
+    outcomes = []
+    for name, case in cases.items():
+        try:
+            P.load_run(**{**base, **case}, store=store, run_id=run_id)
+            rule = "loaded"
+        except P.LoadError as error:
+            rule = re.split("[,:(]", str(error))[0].strip()
+        outcomes.append((name, rule))
+    left = V.read_version(spark, store).number  # nothing was loaded
+    return spark.createDataFrame([(*o, left) for o in outcomes], "run string, rule string, version int")
+
+
+@query
+def output_record_check(spark, sf):
+    """Orders published in a folder per priority; each folder is then damaged in one way."""
+    base, columns = scratch_path(spark, "outputs"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_clerk"]
+    orders = A.table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus",
+        F.concat(F.lit('"'), F.col("o_orderkey") % 7, F.lit(' \n,á')).alias("o_clerk"), "o_orderpriority")
+    names = {"1-URGENT": "intact", "2-HIGH": "missing", "3-MEDIUM": "changed", "4-NOT SPECIFIED": "added", "5-LOW": "longer"}
+    for priority, name in names.items():
+        rows = orders.where(F.col("o_orderpriority") == priority)
+        csv_files.write_csv(rows.repartition(3, "o_custkey"), f"{base}/{name}", columns)
+    records = materialize(digests.output_folders(spark, base, list(names.values())), "records")
+    parts = materialize(digests.folder_parts(spark, base), "parts")
+    csv_files.write_csv(orders.where("o_orderpriority = '5-LOW'").coalesce(1), f"{base}/longer", columns, mode="append")
+    there = digests.folder_parts(spark, base)
+    first = parts.groupBy("name").agg(F.min("part").alias("part")).withColumn("first", F.lit(True))
+    there = there.join(first, ["name", "part"], "left").where("name <> 'missing' OR first IS NULL").withColumn(
+        "sha256", F.when((F.col("name") == "changed") & F.col("first"), "0" * 64).otherwise(F.col("sha256"))).drop("first")
+    extra = spark.range(1).selectExpr("'added' AS name", "'extra.csv' AS part", f"'{'1' * 64}' AS sha256", "5L AS size_bytes")
+    found = digests.output_folders(spark, base, list(names.values()))
+    wrong = digests.folder_violations(records, parts, found, there.unionByName(extra)).groupBy("name", "rule").agg(
+        F.count(F.lit(1)).alias("n"))
+    return wrong.select("name", "rule", "n", F.lit("").alias("digest")).unionByName(
+        records.select("name", F.lit("").alias("rule"), F.col("row_count").alias("n"), "digest"))
+
+
+@query
+def archive_check(spark, sf):
+    """Received API pages kept byte for byte; the kept bytes against the records, whole and damaged."""
+    landing = _land_envelopes(spark, sf)
+    prints = lineage.file_fingerprints(spark, landing)
+    records = materialize(lineage.raw_file_records(
+        prints, raw_json.read_envelopes(spark, landing, multi_line=False)), "records")
+    said = P.archive_raw(spark, landing, records, scratch_path(spark, "archive"), "20260101T000000Z")
+    kept = spark.read.parquet(f"{said['folder']}/files")
+    listed = records.select(F.col("local_path").alias("raw_file"), "sha256")
+    first = records.agg(F.min("local_path")).scalar()
+    content = F.when(F.col("raw_file") == first, F.concat("content", F.lit(b" "))).otherwise(F.col("content"))
+    states = {"kept": kept, "longer": kept.withColumn("content", content), "fewer": kept.where(F.col("raw_file") != first)}
+    found = [P.archive_violations(listed, rows).groupBy("rule").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(state).alias("state"), "rule", "n") for state, rows in states.items()]
+    pages = kept.select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("page")).where("page <> ''")
+    pages = pages.agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept").alias("state"), F.lit("pages").alias("rule"), "n")
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(pages)
+
+
+@query
+def file_verdicts(spark, sf):
+    """One verdict per file of many responses, and the responses that the files in order cover."""
+    path = scratch_path(spark, "pages")
+    payload = F.to_json(F.struct(F.sha2("html", 256).alias("body_sha256"), F.struct("html").alias("body")))
+    A.table(spark, sf, "pages").select(
+        payload.alias("value"), F.pmod(F.col("page_id"), F.lit(8)).alias("bucket")
+    ).repartition(8, "bucket").write.partitionBy("bucket").text(path)
+    prints = lineage.file_fingerprints(spark, path, pattern="*.txt")
+    bucket = F.regexp_extract("local_path", "bucket=([0-9]+)", 1)
+    records = materialize(prints, "prints").withColumn("sha256", F.when(bucket == "2", "").when(
+        bucket == "3", "0" * 64).otherwise(F.col("sha256")))
+    verdicts = digests.verdicts(records, prints.where(bucket != "5"))
+    bodies = raw_json.read_envelopes(spark, path, multi_line=False).select(
+        "raw_file", raw_json.json_text("$.body_sha256").alias("body_sha256"))
+    covered = digests.response_hashes(verdicts, bodies).groupBy("raw_file").agg(F.count(F.lit(1)).alias("bodies"))
+    return verdicts.join(covered, "raw_file", "left").select(
+        F.regexp_extract("raw_file", "bucket=([0-9]+)", 1).alias("bucket"), F.coalesce("rule", F.lit("ok")).alias("rule"),
+        F.coalesce("bodies", F.lit(0)).alias("bodies"))
