@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import contract as C
 from ledgerlens.functions.text import BOM
+from ledgerlens.sources.csv_split import csv_records, read_records
 
 FILE_ORDER = ["csv_file", "csv_block", "csv_row"]
 
@@ -20,15 +21,21 @@ def read_csv(
     multi_line: bool = True,
     with_order: bool = False,
 ) -> DataFrame:
-    """All columns as text, missing cells as ''.
+    """All columns as text, missing cells as ''; columns of several files meet by name.
 
-    ``multi_line`` allows line breaks inside quotes but keeps a file in one task;
-    turn it off for large files known to have none, which Spark then splits.
-    Files whose header differs from the first one's fail instead of shifting columns.
+    Line breaks inside quotes are cells' own; large files are read in many tasks all the same, see
+    ``csv_split``.  Without ``multi_line`` every line is a row and Spark's reader does it alone: faster
+    for files known to have no such breaks, but their headers must be the same or it fails.
     ``with_order`` adds FILE_ORDER: file, block and row order, a total order key.
     """
+    if multi_line:
+        rows = read_records(csv_records(spark, path))
+        names = [c for c in rows.columns if c not in ("__file", "__record")]
+        order = [F.col("__file").alias("csv_file"), F.lit(0).cast("bigint").alias("csv_block"),
+                 F.col("__record").alias("csv_row")]
+        return rows.select(*[F.col(f"`{c}`") for c in names], *(order if with_order else []))
     frame = (
-        spark.read.option("header", True).option("multiLine", multi_line)
+        spark.read.option("header", True)
         .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("recursiveFileLookup", True).option("enforceSchema", False)
@@ -86,13 +93,10 @@ def write_csv_by_year(
         dated, path, csv_columns(df.columns, preferred), partition_by=["year"], **options)
 
 
-def csv_row_counts(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+def csv_row_counts(spark: SparkSession, path: str) -> DataFrame:
     """Data rows per file, header excluded; files without rows count 0."""
-    frame = (
-        spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-        .option("recursiveFileLookup", True).csv(path))
-    counted = frame.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-        F.count(F.lit(1)).alias("row_count"))
+    counted = csv_records(spark, path).groupBy(F.col("file").alias("path")).agg(
+        (F.count(F.lit(1)) - 1).alias("row_count"))
     return list_files(spark, path, "*").select("path").join(counted, "path", "left").select(
         "path", F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"))
 

@@ -469,6 +469,12 @@ WITH s AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS periodo FROM lineite
   SELECT 'run-' || ano AS run_id, count(*) AS rows, CAST(sum(monto) AS BIGINT) AS total
   FROM facts GROUP BY 1""",
     "publish_roundtrip": _VIEW + _SUMMARY.format(where="true"),
+    "csv_mixed_headers": """
+  SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn,
+    CASE WHEN conv_id % 3 = 0 THEN role ELSE '' END AS role,
+    role || ' "' || (turn % 3) || '",' || chr(10) || text AS text,
+    CASE WHEN conv_id % 3 = 2 THEN 'e' || chr(10) || turn ELSE '' END AS extra
+  FROM conversations""",
     "publish_run": (_VIEW + _SUMMARY.format(where="true")).replace(
         "CASE WHEN l_orderkey % 97 = 0 THEN '' ELSE l_orderkey || '-' || l_linenumber END AS source_id",
         "'' AS source_id"),

@@ -652,6 +652,20 @@ def csv_roundtrip(spark, sf):
     return csv_files.read_csv(spark, path)
 
 
+@query
+def csv_mixed_headers(spark, sf):
+    """Files whose headers differ in order and columns, with line breaks in cells, in one folder."""
+    c = A.table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("string").alias("turn"), "role",
+        F.concat("role", F.lit(' "'), F.col("turn") % 3, F.lit('",\n'), "text").alias("text"))
+    path = scratch_path(spark, "csv-mixed")
+    kinds = [["conv_id", "turn", "role", "text"], ["text", "conv_id", "turn"], ["turn", "extra", "text", "conv_id"]]
+    for k, columns in enumerate(kinds):
+        rows = c.where(F.col("conv_id") % 3 == k).withColumn("extra", F.concat(F.lit("e\n"), "turn"))
+        csv_files.write_csv(rows, path, columns, mode="append", bom=k != 1)
+    return csv_files.read_csv(spark, path)
+
+
 @query
 def csv_by_year(spark, sf):
     """Expenses written per year; data rows per year counted from the files."""
