@@ -9,8 +9,9 @@ within 3 + 2 in one, or 3 + 1 in both, on average 61 of the 2**24. Whoever diffe
 those parts visits its home, so residents of an anchor are compared with its visitors, all 64 bits,
 and nothing else is.
 
-Visits to anchors where nobody lives are dropped by a bitmap of all anchors, six megabytes at any
-corpus size. Visitors of a crowded anchor are dealt over several tasks, each with all residents; the
+Of two fingerprints one visit is enough: only anchors of a greater number than one's own home are
+visited. Visits to anchors where nobody lives are dropped by a bitmap of all anchors, six megabytes at
+any corpus size. Visitors of a crowded anchor are dealt over several tasks, each with all residents; the
 residents are at most RESIDENTS. Anchors with more (a great family of close copies) take an exact way
 without pairs: two fingerprints differ in at most 4 bits if and only if some point is within 2 bits of
 both, so all visitors of such anchors are sent to the 2081 points around them and neighbours at one
@@ -200,6 +201,9 @@ def visit_rows(maps):
                 own = homes(prints)
                 great = np.zeros(len(prints), bool)
                 for pair, place, anchors in visits(prints):
+                    # of two fingerprints, the one whose home has the smaller number visits the other
+                    ahead = anchors >= own[pair][place]
+                    place, anchors = place[ahead], anchors[ahead]
                     packed = _has(hot, anchors)
                     great[place[packed]] = True
                     kept = _has(lived, anchors) & ~packed
