@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ledgerlens import contract as C
 from ledgerlens.functions import text as X
+from ledgerlens.session import materialize
 
 RAW_TEXT = (
     "source_id fuente dataset ano mes periodo unidad_ejecutora nombre_completo "
     "gastos_operacionales monto source_url raw_file raw_body_sha256 fecha_captura_utc"
 ).split()
+#: So many repeated ids, and bytes of them, are broadcast.
+REPEATED_IDS, REPEATED_BYTES = 1 << 20, 64 << 20
 SIGNATURE = ["periodo", "unidad_ejecutora", "nombre_completo_raw", "categoria_raw", "monto_raw"]
 
 
@@ -110,18 +113,48 @@ def first_rows(
     return first.selectExpr(*[f"__first.{c} AS __first_{c}" for c in order_by])
 
 
+def repeated_firsts(
+    df: DataFrame, *, order_by: Sequence[str], id_col: str = "source_id", most: int = REPEATED_IDS,
+) -> DataFrame | None:
+    """id and ``__first``, the order key of its first row, of non-blank ids that occur more than once.
+
+    Ids are first counted by a 64-bit hash, map-side, so eight bytes and a count of each are shuffled
+    and no row; only rows whose hash occurs twice are then grouped by their id.  The result is
+    small enough to be broadcast, which is checked: at most ``most`` ids and REPEATED_BYTES of them.
+    None where it is larger.
+    """
+    hashed = df.where(f"{id_col} <> ''").withColumn("__hash", F.xxhash64(id_col))
+    counts = hashed.groupBy("__hash").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    hashes = materialize(counts.select("__hash"), "repeated")
+    if hashes.count() > most:
+        return None
+    firsts = hashed.join(F.broadcast(hashes), "__hash").groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(order_key(order_by)).alias("__first"))
+    firsts = materialize(firsts.where("__n > 1").select(id_col, "__first"), "firsts")
+    size = firsts.agg(F.coalesce(F.sum(F.octet_length(id_col)), F.lit(0)).alias("bytes")).first()
+    return firsts if size.bytes <= REPEATED_BYTES else None
+
+
 def mark_duplicates(
     df: DataFrame,
     *,
     order_by: Sequence[str],
     id_col: str = "source_id",
     flag: str = "is_duplicate",
+    most: int = REPEATED_IDS,
 ) -> DataFrame:
     """Flag the second and later rows of a non-blank id.
 
-    A row is the first of its id when its own order key is among the firsts.  The
-    join is on that unique key and not on the id, so repeated ids cannot skew it.
+    Where few ids repeat, their firsts are broadcast and no row is shuffled.  Otherwise a row is the
+    first of its id when its own order key is among the firsts of all ids: that join is on a
+    unique key and not on the id, so repeated ids cannot skew it.
     """
+    few = repeated_firsts(df, order_by=order_by, id_col=id_col, most=most)
+    if few is not None:
+        few = F.broadcast(few.withColumnRenamed(id_col, "__id"))
+        joined = df.join(few, F.col(id_col) == F.col("__id"), "left")
+        later = F.col("__first").isNotNull() & (order_key(order_by) != F.col("__first"))
+        return joined.withColumn(flag, F.coalesce(later, F.lit(False))).drop("__id", "__first")
     firsts = first_rows(df, order_by=order_by, id_col=id_col).withColumn("__is_first", F.lit(True))
     same = " AND ".join(f"{c} <=> __first_{c}" for c in order_by)
     if len(order_by) > 1:
@@ -140,14 +173,18 @@ def id_groups(
     id_col: str = "source_id",
     signature: Sequence[str] = SIGNATURE,
 ) -> DataFrame:
-    """Ids seen more than once: row count and whether their contents differ."""
-    content = F.struct(*signature)
-    groups = df.where(F.col(id_col) != "").groupBy(id_col).agg(
+    """Ids seen more than once: row count and whether their contents differ.
+
+    Contents are compared by two 64-bit hashes, nulls told from blanks, whose minima and maxima are
+    plain numbers: a hash aggregate, with partial sums before the shuffle.
+    """
+    cells = [*signature, *[F.col(c).isNull() for c in signature]]
+    hashes = {"__a": F.xxhash64(*cells), "__b": F.xxhash64(F.lit(1), *cells)}
+    groups = df.where(F.col(id_col) != "").select(id_col, *[h.alias(n) for n, h in hashes.items()]).groupBy(id_col).agg(
         F.count(F.lit(1)).alias("registros"),
-        F.min(content).alias("__low"),
-        F.max(content).alias("__high"))
-    return groups.where("registros > 1").select(
-        id_col, "registros", (F.col("__low") != F.col("__high")).alias("conflicting"))
+        *[f(n).alias(f"{n}_{k}") for n in hashes for k, f in (("low", F.min), ("high", F.max))])
+    differ = " OR ".join(f"{n}_low <> {n}_high" for n in hashes)
+    return groups.where("registros > 1").select(id_col, "registros", F.expr(differ).alias("conflicting"))
 
 
 def row_status(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,20 +15,55 @@ _SLOT, _PART = "__slot", "__part"
 _LOW_BITS = 33  # monotonically_increasing_id keeps the in-partition index in these bits
 
 
+#: A group of more rows than this is spread over several tasks.
+HOT_ROWS = 100_000
+
+
 def number_rows(
     df: DataFrame,
     order_by: Sequence[str | Column],
     *,
     partition_by: Sequence[str] = (),
     name: str = "row_number",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """1-based position by ``order_by``, over the table or within ``partition_by``.
 
+    Groups are counted first, map-side.  Those of at most ``hot_rows`` rows are sorted by a window,
+    one shuffle and no copy; rows of larger ones are spread and numbered with offsets, see
+    ``number_spread``.  ``order_by`` with the group must be a total order for the result to be
+    reproducible.
+    """
+    if not partition_by:
+        return number_spread(df, order_by, name=name)
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    number = F.row_number().over(W.partitionBy(*partition_by).orderBy(*order)).cast("bigint")
+    kept = [c for c in df.columns if c != name]
+    groups = {c: f"__g{i}" for i, c in enumerate(partition_by)}
+    hot = df.groupBy(*[F.col(c).alias(g) for c, g in groups.items()]).agg(
+        F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows).drop("__rows")
+    hot = materialize(hot, "hot-groups")
+    if hot.isEmpty():
+        return df.select(*kept, number.alias(name))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(g)) for c, g in groups.items()])
+    small = df.join(hot, same, "left_anti").select(*kept, number.alias(name))
+    great = number_spread(df.join(hot, same, "left_semi"), order_by, partition_by=partition_by, name=name)
+    return small.unionByName(great)
+
+
+def number_spread(
+    df: DataFrame,
+    order_by: Sequence[str | Column],
+    *,
+    partition_by: Sequence[str] = (),
+    name: str = "row_number",
+) -> DataFrame:
+    """Positions without a group, or the table, in one task.
+
     The rows are range-partitioned on group and order key together, so a group that
     holds a third of the table spreads over a third of the partitions.  The sorted
     rows are written once; after that a row's place is its index in its partition
-    plus the group's row counts in earlier partitions.  ``order_by`` with the group
-    must be a total order for the result to be reproducible.
+    plus the group's row counts in earlier partitions.
     """
     keys = [F.col(c) for c in partition_by]
     order = [*keys, *[F.col(c) if isinstance(c, str) else c for c in order_by]]

@@ -157,3 +157,45 @@ def test_gate(spark):
     with pytest.raises(quality.QualityGateError, match="duplicadas"):
         quality.enforce_gate(gate_input(spark, extra=5))
     quality.enforce_gate(gate_input(spark))
+
+
+@pytest.mark.parametrize("hot_rows", [0, 3, 100])
+def test_positions_within_groups(spark, hot_rows):
+    from ledgerlens.operators.numbering import number_rows
+
+    rows = [(None if k % 9 == 0 else f"g{k % 4}", (k * 37) % 101, k) for k in range(90)]
+    frame = spark.createDataFrame(rows, "g string, v int, k int")
+    found = number_rows(frame, [F.desc("v"), "k"], partition_by=["g"], name="place", hot_rows=hot_rows)
+    places = {}
+    for group in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == group), key=lambda r: (-r[1], r[2]))
+        places.update({r: n for n, r in enumerate(mine, 1)})
+    assert {(r.g, r.v, r.k): r.place for r in found.collect()} == places
+    assert found.columns == ["g", "v", "k", "place"]
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_duplicates_few_and_many(spark, most):
+    rows = [(f"id{k % 13}" if k % 3 else "", None if k % 5 == 0 else "x", k // 7, -k) for k in range(60)]
+    rows += [(f"alone{k}", "y", 1, 100 + k) for k in range(20)]
+    frame = spark.createDataFrame(rows, "source_id string, cell string, a int, b int")
+    found = {(r.a, r.b): r.dup for r in classify.mark_duplicates(
+        frame, order_by=["a", "b"], flag="dup", most=most).collect()}
+    seen, expected = set(), {}
+    for source_id, _, a, b in sorted(rows, key=lambda r: (r[2], r[3])):
+        expected[a, b] = source_id != "" and source_id in seen
+        seen.add(source_id)
+    assert found == expected and sum(expected.values()) > 20
+    groups = {r.source_id: (r.registros, r.conflicting) for r in classify.id_groups(frame, signature=["cell"]).collect()}
+    for source_id, (count, conflicting) in groups.items():
+        mine = [cell for i, cell, _, _ in rows if i == source_id]
+        assert (count, conflicting) == (len(mine), len(set(mine)) > 1)
+    assert len(groups) == 13
+
+
+def test_duplicates_need_no_sort(spark):
+    frame = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3)], "source_id string, cell string, k int")
+    marked = classify.mark_duplicates(frame, order_by=["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in marked and "SortMergeJoin" not in marked
+    groups = classify.id_groups(frame, signature=["cell"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in groups
