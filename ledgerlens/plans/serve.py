@@ -6,6 +6,8 @@ built, so all of them can reach the scan.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ledgerlens.functions.casts import rounded_ratio
 from ledgerlens.functions.text import contains_ci
 from ledgerlens.operators.numbering import number_rows
 from ledgerlens.operators.registry import latest_run, latest_runs
+from ledgerlens.session import materialize
 
 FACT_COLUMNS = (
     "run_id source_id row_number periodo ano mes parlamentario_id parlamentario_nombre "
@@ -117,11 +120,11 @@ def filtered_entity_summary(ranking: DataFrame, **filters) -> DataFrame:
 
 def entity_lookup(ranking: DataFrame, entity_id: str) -> DataFrame:
     """Summary of one entity: no row if unknown, an error if it is ambiguous."""
-    found = entity_summary(ranking.where(F.col("parlamentario_id") == entity_id)).limit(2)
-    n = found.agg(F.count(F.lit(1))).scalar()
-    unique = F.when(n <= 1, F.col("parlamentario_id")).otherwise(
+    summary = entity_summary(ranking.where(F.col("parlamentario_id") == entity_id))
+    found = summary.limit(2).agg(F.collect_list(F.struct(*summary.columns)).alias("found"))
+    one = F.when(F.size("found") <= 1, F.col("found")).otherwise(
         F.raise_error(F.lit(f"more than one summary for {entity_id}")))
-    return with_zeroes(found.withColumn("parlamentario_id", unique))
+    return with_zeroes(found.select(F.inline(one)))
 
 
 def with_zeroes(summary: DataFrame) -> DataFrame:
@@ -196,6 +199,16 @@ def summary_positions(
     return number_rows(summary, summary_order(sort, direction), name="position")
 
 
+def all_positions(summary: DataFrame) -> DataFrame:
+    """sort, direction, position, parlamentario_id of every order that the ranking page offers."""
+    summary = materialize(summary, "summary")
+    orders = [
+        summary_positions(summary, sort, direction).select(
+            F.lit(sort).alias("sort"), F.lit(direction).alias("direction"), "position", "parlamentario_id")
+        for sort in C.SORT_KEYS for direction in ("asc", "desc")]
+    return reduce(DataFrame.unionByName, orders)
+
+
 def headline_totals(summary: DataFrame) -> DataFrame:
     return summary.agg(
         F.coalesce(F.sum("total_monto"), F.lit(0)).alias("total_monto"),
@@ -204,7 +217,8 @@ def headline_totals(summary: DataFrame) -> DataFrame:
 
 
 def share_of_max(summary: DataFrame, value: str = "promedio_mensual") -> DataFrame:
-    """Bar length in percent of the largest value, at least 4; the maximum is a subquery."""
+    """Bar length in percent of the largest value, at least 4; the summary is stored and read twice."""
+    summary = materialize(summary, "summary")
     top = F.greatest(summary.agg(F.max(value)).scalar(), F.lit(1))
     return summary.withColumn(
         "share", F.greatest(F.col(value) / top * 100, F.lit(4.0)).cast("double"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens import contract as C
 from ledgerlens.functions.text import BOM
 from ledgerlens.sources.csv_split import csv_records, read_records
+from ledgerlens.sources.shared_files import exists
 
 FILE_ORDER = ["csv_file", "csv_block", "csv_row"]
 
@@ -109,20 +111,39 @@ def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
         .select("path", "modificationTime", F.col("length").alias("size_bytes")))
 
 
+def snapshots(spark: SparkSession, directory: str, prefix: str = C.EXPENSE_FILE_PREFIX) -> DataFrame:
+    """snapshot, modified, in_folder of source files and folders of files with the prefix.
+
+    The files of a folder, at any depth, are one snapshot, as new as its newest file.  Derived outputs
+    are no sources.
+    """
+    place = re.sub("^[a-z0-9]+:(//[^/]*)?", "", directory).strip("/")
+    here = rf"^((?:[a-z0-9]+:(?://[^/]*)?)?/\Q{place}\E/[^/]+)"
+    files = list_files(spark, directory, "*.csv").withColumn("snapshot", F.regexp_extract("path", here, 1))
+    files = files.withColumn("name", F.element_at(F.split("snapshot", "/"), -1))
+    source = F.startswith("name", F.lit(prefix)) & ~F.contains("name", F.lit("_por_ano"))
+    source = source & ~F.regexp_like("name", F.lit(r"periodos(\.csv)?\z"))
+    for derived in ("clean", "ranking", "categorias"):
+        source = source & ~F.contains("name", F.lit(derived))
+    if prefix == C.EXPENSE_FILE_PREFIX:
+        source = source & ~F.contains("name", F.lit("parlamentarios"))
+    return files.where(source).groupBy("snapshot").agg(
+        F.max("modificationTime").alias("modified"), F.bool_or(F.col("path") != F.col("snapshot")).alias("in_folder"))
+
+
 def latest_snapshot(
     spark: SparkSession, directory: str, prefix: str = C.EXPENSE_FILE_PREFIX
 ) -> str | None:
-    """Newest source file with the prefix; derived files are not sources."""
-    name = F.element_at(F.split("path", "/"), -1)
-    files = list_files(spark, directory, f"{prefix}*.csv").withColumn("name", name)
-    source = ~name.contains("_por_ano") & ~F.endswith(name, F.lit("periodos.csv"))
-    for derived in ("clean", "ranking", "categorias"):
-        source = source & ~name.contains(derived)
-    if prefix == C.EXPENSE_FILE_PREFIX:
-        source = source & ~name.contains("parlamentarios")
-    top = files.where(source).orderBy(F.desc("modificationTime"), F.asc("path")).limit(1)
-    row = top.select("path").first()
-    return row.path if row else None
+    """Newest source file or finished folder with the prefix.
+
+    A folder counts once its writer has left the marker ``_SUCCESS``; newer ones without it are passed
+    over.
+    """
+    newest = snapshots(spark, directory, prefix).orderBy(F.desc("modified"), F.asc("snapshot"))
+    for row in newest.toLocalIterator():  # as a rule the first one
+        if not row.in_folder or exists(spark, f"{row.snapshot}/_SUCCESS"):
+            return row.snapshot
+    return None
 
 
 def require_latest_snapshot(spark: SparkSession, directory: str, prefix: str) -> str:

@@ -475,6 +475,12 @@ WITH s AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS periodo FROM lineite
     role || ' "' || (turn % 3) || '",' || chr(10) || text AS text,
     CASE WHEN conv_id % 3 = 2 THEN 'e' || chr(10) || turn ELSE '' END AS extra
   FROM conversations""",
+    "ranking_orders": _VIEW + f""", su AS ({_SUMMARY.format(where="periodo >= '1997-01'")})"""
+        + " UNION ALL ".join(f"""
+  SELECT '{key}' AS sort, '{direction}' AS direction, row_number() OVER (ORDER BY {column} {direction},
+    parlamentario_nombre, parlamentario_id) AS position, parlamentario_id FROM su"""
+        for key, column in C.SORT_KEYS.items() for direction in ("asc", "desc")),
+    "latest_snapshot": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer",
     "publish_run": (_VIEW + _SUMMARY.format(where="true")).replace(
         "CASE WHEN l_orderkey % 97 = 0 THEN '' ELSE l_orderkey || '-' || l_linenumber END AS source_id",
         "'' AS source_id"),

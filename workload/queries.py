@@ -268,6 +268,12 @@ def summary_positions(spark, sf):
         "position", "parlamentario_id", "registros")
 
 
+@query
+def ranking_orders(spark, sf):
+    """The ranking in all ten orders, with positions."""
+    return serve.all_positions(serve.filtered_entity_summary(_view(spark, sf), period_from="1997-01"))
+
+
 @query
 def search_entities(spark, sf):
     c = A.table(spark, sf, "customer")
@@ -666,6 +672,19 @@ def csv_mixed_headers(spark, sf):
     return csv_files.read_csv(spark, path)
 
 
+@query
+def latest_snapshot(spark, sf):
+    """Of a file, two finished folders, a derived one and one half-written, the newest source is read."""
+    directory = scratch_path(spark, "snapshots")
+    c = A.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name")
+    for name, rows, marker in (
+            ("2012-01_2024-12", c.where("c_custkey % 2 = 0"), True), ("2012-01_2025-12", c, True),
+            ("clean_2026", c.limit(0), True), ("2012-01_2026-01", c.where("c_custkey % 3 = 0"), False)):
+        rows.write.option("header", True).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", marker).csv(
+            f"{directory}/{C.EXPENSE_FILE_PREFIX}{name}")
+    return csv_files.read_csv(spark, csv_files.require_latest_snapshot(spark, directory, C.EXPENSE_FILE_PREFIX))
+
+
 @query
 def csv_by_year(spark, sf):
     """Expenses written per year; data rows per year counted from the files."""
