@@ -315,7 +315,9 @@ def repair_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def in_pieces(rows: DataFrame) -> DataFrame:
-    return rows.repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "position")
+    # rows are small and the work on them is not: a number of tasks that is not put together by size
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "conv_id", "piece").sortWithinPartitions("conv_id", "piece", "position")
 
 
 def report(rows: DataFrame, piece: int = PIECE) -> DataFrame:

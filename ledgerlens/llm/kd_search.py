@@ -46,7 +46,7 @@ class Tree:
             self.children.append([])
             if parent >= 0:
                 self.children[parent].append(node)
-            if end - begin > leaf:
+            if end - begin > leaf and vectors.shape[1]:  # vectors of length 0 are one leaf
                 own = vectors[order[begin:end]]
                 axis = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
                 half = (end - begin) // 2
@@ -165,7 +165,7 @@ def top_k(rows: DataFrame, is_query, k: int = K, scale: int = SCALE, shard: int
     a null vector, or null or non-finite components take no part; vectors of another length than
     the query's are no candidates. Fewer candidates give fewer rows; an empty table gives none.
     Repeated rows are candidates, or queries, of their own. Scores that do not fit
-    64 bits are not defined. Only vec_id and embedding are read.
+    64 bits are not defined; vectors of length 0 score 0 among each other. Only vec_id and embedding are read.
     """
     spark = rows.sparkSession
     vectors = integer_vectors(rows, scale)

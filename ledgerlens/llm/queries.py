@@ -53,7 +53,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    found = near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    # by the id alone: rows that share a doc_id are kept together, whatever their texts
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("kept")))
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import components, kd_search, near_dups, ngram_lm, quality, repeats, toxicity
 from ledgerlens.llm.elias_fano import EliasFano
+from ledgerlens.llm.word_features import labelled_sample
 
 DOCS = "doc_id bigint, text string, lang string, node bigint, score double, kept boolean, row_key string"
 
@@ -370,3 +372,70 @@ def test_quality_grades(spark):
     assert means == sorted(means)
     assert not found[5].selected and not found[3].selected
     assert quality.grade_texts(frame(spark, []), model, 1).collect() == []
+
+
+def test_samples_are_bounded(spark):
+    docs = frame(spark, [(1, "repeated row")] * 50 + [(2, "x" * 900), (3, "short"), (4, None), (5, "five five")])
+    labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4, 5, 5)] + [(None, 1)], "doc_id bigint, toxic int")
+    found = labelled_sample(docs, labels, F.col("toxic"), {1: 10, 0: 10}, 4000).collect()
+    assert sorted((r.doc_id, r.text) for r in found) == [(1, "repeated row"), (3, "short"), (4, ""), (5, "five five")]
+    few = labelled_sample(docs, labels, F.col("toxic"), {1: 10, 0: 10}, 120).collect()
+    assert 0 < sum(len(r.text) for r in few) <= 120
+
+
+def test_toxicity_learns_from_whole_long_texts(spark):
+    """Texts of over 60 windows, toxic for a stretch in some place."""
+    draw = random.Random(4)
+    rows, labels = [], []
+    for doc in range(150):
+        text = draw.choices([f"w{k}" for k in range(50)], k=1500)
+        labels.append((doc, doc % 2))
+        if doc % 2:
+            at = draw.randrange(len(text) - 300)
+            text[at:at + 300] = draw.choices(["vile", "words", "w1", "w2"], k=300)
+        rows.append((doc, " ".join(text)))
+    table = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    found = toxicity.score_texts(frame(spark, rows), toxicity.fit(frame(spark, rows), table)).collect()
+    right = [(r.score >= 0.5) == (r.doc_id % 2 == 1) for r in found if r.held_out]
+    assert sum(right) / len(right) >= 0.9
+
+
+def test_quality_without_ratings_selects_nothing(spark):
+    docs = frame(spark, [(1, "some words"), (2, "")])
+    model = quality.fit(docs, spark.createDataFrame([], "doc_id bigint, grade int"), F.col("grade"), 3)
+    found = quality.grade_texts(docs, model, 1).collect()
+    assert [(r.expected_grade, r.selected) for r in found] == [(0.0, False)] * 2
+
+
+def test_remembered_segments_are_bounded():
+    from ledgerlens.llm.arrow_text import Remembered
+
+    kept = Remembered(limit=2000)
+    for begin in range(0, 60, 7):
+        values = pa.array([f"segment {k}".encode() for k in range(begin, begin + 9)], pa.large_binary())
+        bounds, numbers = kept.lists(values, lambda new: (
+            np.arange(len(new) + 1) * 2, np.repeat([int(v.split()[1]) for v in new.to_pylist()], 2)))
+        assert numbers.tolist() == [k for k in range(begin, begin + 9) for _ in range(2)]
+        assert bounds.tolist() == list(range(0, 19, 2))
+        assert kept.held <= 2000
+
+
+def test_many_vectors_without_components(spark):
+    rows = [(k, []) for k in range(90)] + [(1000, [1.0]), (1001, [2.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = kd_search.top_k(table, F.col("vec_id") % 50 == 0, k=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == [
+        (0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 3, 0), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0),
+        (1000, 1, 1001, 2 << 20)]
+
+
+def test_kept_goes_by_the_id(spark, tmp_path):
+    """Two rows of one doc_id, with texts that are near but not the same."""
+    from ledgerlens.llm.queries import op7_near_dedup
+
+    base = [f"w{k}" for k in range(60)]
+    rows = [(3, " ".join(base)), (3, " ".join([*base, "more"])), (9, " ".join(base)), (None, "alone here"), (4, "")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = op7_near_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in found) == [
+        (0, 0, True), (3, 3, True), (3, 3, True), (4, 4, True), (9, 3, False)]
