@@ -41,7 +41,7 @@ def strict_int(c: Column | str, field: str) -> Column:
     x = col(c).cast("string")
     return F.when(x.rlike(r"^[0-9]+\z"), x.cast("int")).otherwise(
         F.raise_error(F.concat(
-            F.lit(f"Campo '{field}' ausente o invalido: "), F.coalesce(x, F.lit("None")))))
+            F.lit(f"{field} no es un entero: "), F.coalesce(x, F.lit("None")))))
 
 
 def check_period_text(value: str) -> str:

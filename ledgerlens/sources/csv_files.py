@@ -149,7 +149,7 @@ def latest_snapshot(
 def require_latest_snapshot(spark: SparkSession, directory: str, prefix: str) -> str:
     path = latest_snapshot(spark, directory, prefix)
     if path is None:
-        raise FileNotFoundError(f"No se encontro CSV con prefijo {prefix!r} en {directory}")
+        raise FileNotFoundError(f"{directory}: ninguna fuente {prefix}*.csv")
     return path
 
 

@@ -40,6 +40,36 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_served_queries_prune_and_push(spark):
+    """Months, categories and entities are filters of the scan, loads are pruned, nothing is joined twice."""
+    expected = {
+        "entity_ranking": ["GreaterThanOrEqual(periodo,1996-03)", "LessThanOrEqual(periodo,2000-10)",
+                           "EqualTo(categoria_id,promo)"],
+        "entity_lookup": ["EqualTo(parlamentario_id,senado_unidad_7)", "GreaterThanOrEqual(periodo,1996-01)"],
+        "entity_categories": ["EqualTo(parlamentario_id,senado_unidad_7)", "LessThanOrEqual(periodo,2000-12)"],
+        "entity_periods": ["EqualTo(parlamentario_id,senado_unidad_7)", "GreaterThanOrEqual(periodo,1996-05)"],
+        "period_summary": ["GreaterThan(registros,0)"]}
+    for name, filters in expected.items():
+        text = QUERIES[name](spark, SF)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        scan = next(part for part in text.split("\n\n") if "/ranking" in part and "PushedFilters" in part)
+        assert all(f in scan for f in filters), (name, scan)
+        assert "PartitionFilters" in scan and "dynamicpruning" in scan
+        assert text.count("/ranking]") <= 1
+
+
+def test_orders_of_served_rows(spark, sql):
+    """Row order itself, which the comparison by sorted rows does not see."""
+    for name, order in (
+            ("entity_ranking", "promedio_mensual DESC, parlamentario_nombre, parlamentario_id"),
+            ("top_categories", "total_monto DESC, categoria_id"), ("newest_periods", "periodo DESC"),
+            ("entity_categories", "total_monto DESC, categoria_id"), ("entity_periods", "periodo DESC")):
+        df = QUERIES[name](spark, SF)
+        columns = ", ".join(df.columns)
+        theirs = sql.execute(f"SELECT {columns} FROM ({ORACLES[name]}) ORDER BY {order}").fetchall()
+        assert [tuple(r) for r in df.collect()] == theirs, name
+
+
 def test_plans(spark):
     search = plan(QUERIES["search_entities"](spark, SF))
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string>" in search

@@ -46,17 +46,32 @@ def _groups(spark, sf) -> DataFrame:
         _classified(spark, sf), _names(spark, sf), order_by=A.ORDER)
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
-def _view(spark, sf) -> DataFrame:
-    """The served ranking, from a table that is loaded once and pruned by every query."""
-    key = (spark.sparkContext.applicationId, sf)
+def prepare_serving(spark, sf) -> V.Version:
+    """The step before serving: the ranking of the tables as they are now, loaded as a run of a store.
+
+    Done once for each state of the tables; every serving query reads the store's newest version.
+    """
+    files = csv_files.list_files(spark, f"{sf}/lineitem.parquet", "*")
+    state = files.agg(F.coalesce(F.sum(F.xxhash64("path", "modificationTime", "size_bytes").cast(
+        "decimal(20,0)")), F.lit(0)).cast("string")).first()[0]
+    key = (spark.sparkContext.applicationId, sf, state)
     if key not in _STORED:
-        path = scratch_path(spark, "served-ranking")
-        P.load_table(_groups(spark, sf).withColumn("run_id", F.lit("served")), path)
-        _STORED[key] = path
-    return serve.published(spark.read.parquet(_STORED[key]).drop("run_id"), A.PUBLISHED_FROM)
+        store = scratch_path(spark, "served")
+        load = V.stage({"ranking": _groups(spark, sf).withColumn("run_id", F.lit("served"))}, store)
+        run = spark.range(1).selectExpr(
+            "CAST(null AS bigint) AS id", "'lines' AS dataset", "'served' AS run_id",
+            "'2026-01-01' AS generated_at_utc", "'ok' AS status")
+        V.commit(V.read_version(spark, store), run, load)
+        _STORED[key] = store
+    return V.read_version(spark, _STORED[key])
+
+
+def _view(spark, sf) -> DataFrame:
+    ranked = prepare_serving(spark, sf).latest("ranking", "lines")
+    return serve.published(ranked.drop("run_id"), A.PUBLISHED_FROM)
 
 
 # --- classification -------------------------------------------------------------------
