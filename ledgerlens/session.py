@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.sources.shared_files import delete
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -53,8 +55,20 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/ledgerlens/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/ledgerlens/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has stored on the way; its results must have been written.
+
+    DataFrames that read such a copy are of no use afterwards.  Other applications' copies stay.
+    """
+    delete(spark, _scratch_root(spark))
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:

@@ -199,3 +199,16 @@ def test_duplicates_need_no_sort(spark):
     assert "Exchange hashpartitioning" not in marked and "SortMergeJoin" not in marked
     groups = classify.id_groups(frame, signature=["cell"])._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in groups
+
+
+def test_scratch_goes_with_its_application(spark, monkeypatch):
+    from pathlib import Path
+
+    from ledgerlens import session
+
+    monkeypatch.setattr(session, "_scratch_root", lambda spark_: f"{session.shared_root(spark_)}/ledgerlens/mine")
+    kept = session.materialize(spark.range(3), "step")
+    folder = Path(session.shared_root(spark), "ledgerlens/mine")
+    assert kept.count() == 3 and len(list(folder.iterdir())) == 1
+    session.drop_scratch(spark)
+    assert not folder.exists() and folder.parent.exists()
