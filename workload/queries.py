@@ -15,7 +15,7 @@ from ledgerlens.operators import classify, digests, lineage, period_sets, qualit
 from ledgerlens.operators.numbering import number_rows
 from ledgerlens.plans import normalize as N
 from ledgerlens.plans import publish as P
-from ledgerlens.plans import serve
+from ledgerlens.plans import release, serve
 from ledgerlens.plans import store as V
 from ledgerlens.session import materialize, scratch_path
 from ledgerlens.sources import csv_files, raw_json
@@ -506,9 +506,9 @@ def file_suffixes(spark, sf):
         csv_files.suffix_period_to(suffix).alias("period_to"))
 
 
-def _land_envelopes(spark, sf) -> str:
+def _land_envelopes(spark, sf, x: DataFrame | None = None) -> str:
     """Write the expenses as API pages of at most 500 items, one response per line."""
-    x = A.expenses(spark, sf)
+    x = A.expenses(spark, sf) if x is None else x
     numbered = number_rows(x, A.ORDER, partition_by=["periodo"], name="n")
     totals = numbered.groupBy("periodo").agg(F.count(F.lit(1)).alias("total"))
     attributes = F.struct(
@@ -773,14 +773,18 @@ def publish_roundtrip(spark, sf):
 
 @query
 def publish_run(spark, sf):
-    """A whole run: normalised, gated, published with records, checked, loaded from its files, served."""
+    """A whole run: API pages checked against their manifest, normalised, gated, published with records,
+    archived, checked again, loaded from the published files and served."""
     expenses = A.expenses(spark, sf).withColumn("source_id", F.lit(""))  # ids repeat: the gate refuses them
-    result = N.normalize(expenses, A.entities(spark, sf), order_by=A.ORDER, source_path="lineitem")
-    root, store, run_id = scratch_path(spark, "published"), scratch_path(spark, "store"), "20260101T000000Z"
-    header = _manifest(spark, run_id, {"none": 0}).drop("output_files").first().asDict()
-    inputs = spark.range(1).selectExpr("'lineitem' AS name", "'lineitem' AS local_path")
-    P.publish(result, header, inputs, root=root, run_id=run_id, publication_from="1998-01")
-    version = P.load_published(spark, root, run_id, store=store)
+    landing, run_id = _land_envelopes(spark, sf, expenses), "20260101T000000Z"
+    records = materialize(lineage.raw_file_records(
+        lineage.file_fingerprints(spark, landing),
+        raw_json.read_envelopes(spark, landing, multi_line=False)), "records")
+    download = spark.range(1).selectExpr(f"'{run_id}' AS run_id", "'raw/download_manifest.json' AS r2_manifest_key")
+    version = release.release(
+        spark, landing, download, records, root=scratch_path(spark, "published"), store=scratch_path(spark, "store"),
+        run_id=run_id, generated_at="2026-01-01T00:00:00+00:00", base_url="https://data.example",
+        entities=A.entities(spark, sf), multi_line=False, publication_from="1998-01")
     return serve.entity_summary(serve.published(version.latest("ranking"), A.PUBLISHED_FROM))
 
 
