@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from .arrow_text import Remembered, chunks, raw, segments, take_lists
 
 SPACE = "▁"
+#: Bytes of text encoded together.
+TEXT_BYTES = 4 << 20
 
 
 class Pieces:
@@ -172,7 +174,7 @@ def encode_texts(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=TEXT_BYTES):
             vocabulary, text = pieces(model), chunk.column("text")
             ids, lengths = vocabulary.encode(text)
             bounds = np.concatenate(([0], np.cumsum(lengths)))

@@ -439,3 +439,16 @@ def test_kept_goes_by_the_id(spark, tmp_path):
     found = op7_near_dedup(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in found) == [
         (0, 0, True), (3, 3, True), (3, 3, True), (4, 4, True), (9, 3, False)]
+
+
+@pytest.mark.parametrize("last", ["end ", " ", "\n end\t"])
+def test_white_space_at_the_end_of_a_chunk(last):
+    """An empty piece is no word, also where it is the last new one."""
+    from ledgerlens.llm.arrow_text import words
+
+    texts = pa.array(["some words", "", last], pa.large_string())
+    found = words(texts)
+    assert [found.vocabulary[int(k)].as_py() for k in found.index] == ["some", "words", *last.split()]
+    assert "" not in found.vocabulary.to_pylist() and found.offsets.tolist() == [0, 2, 2, 2 + len(last.split())]
+    scores = toxicity._scores(toxicity.Network(2), texts)
+    assert np.isfinite(scores).all()
