@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that one task handles at a time; a longer single text is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 24 << 20
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,12 +136,46 @@ def take_lists(offsets: np.ndarray, values: np.ndarray, index: np.ndarray) -> np
 
 
 class Remembered:
+    """Number lists of distinct segments, kept between the chunks of a Python worker."""
+
+    def __init__(self, limit: int = 1_500_000):
+        self.limit = limit
+        self._keep(pa.array([], pa.large_binary()), np.zeros(1, np.int64), np.zeros(0, np.int32))
+
+    def _keep(self, values: pa.Array, bounds: np.ndarray, numbers: np.ndarray) -> None:
+        self.values, self.bounds, self.numbers = values, bounds, numbers
+
+    def lists(self, distinct: pa.Array, make) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds and numbers; ``make`` gives those of the segments that are not yet known."""
+        at = pc.index_in(distinct, value_set=self.values)
+        new = pc.is_null(at)
+        fresh = distinct.filter(new)
+        new = new.to_numpy(zero_copy_only=False)
+        where = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        where[new] = len(self.values) + np.arange(len(fresh))
+        bounds, numbers = self.bounds, self.numbers
+        values = self.values
+        if len(fresh):
+            more, found = make(fresh)
+            bounds = np.concatenate((bounds, bounds[-1] + more[1:]))
+            numbers = np.concatenate((numbers, found.astype(np.int32)))
+            values = pa.concat_arrays([values, fresh])
+        sizes = np.diff(bounds)[where]
+        out = np.concatenate(([0], np.cumsum(sizes))), take_lists(bounds, numbers, where)
+        if len(values) <= self.limit:
+            self._keep(values, bounds, numbers)
+        else:
+            self._keep(distinct, *out)
+        return out
+
+
+class RememberedInBytes:
     """Number lists of distinct segments, kept between the chunks of a Python worker.
 
     What is kept is bounded in bytes, an allowance for each entry included, and begun anew beyond.
     """
 
-    def __init__(self, limit: int = 48 << 20, entry: int = 200):
+    def __init__(self, limit: int = 160 << 20, entry: int = 170):
         self.limit, self.entry, self.held = limit, entry, 0
         self.known: dict[bytes, bytes] = {}
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .arrow_text import Remembered, chunks, raw, segments, take_lists
+from .arrow_text import RememberedInBytes, chunks, raw, segments, take_lists
 
 SPACE = "▁"
 #: Bytes of text encoded together.
@@ -54,7 +54,7 @@ class Pieces:
         self.unknown = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         #: No piece goes on over a space after a visible character: texts fall apart there.
         self.cuts_at_spaces = not any(SPACE in name.lstrip(SPACE) for name in self.ids)
-        self.remembered = Remembered()
+        self.remembered = RememberedInBytes()
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text`` in committed runs. Of equal ways the longer last piece wins.

@@ -408,9 +408,9 @@ def test_quality_without_ratings_selects_nothing(spark):
 
 
 def test_remembered_segments_are_bounded():
-    from ledgerlens.llm.arrow_text import Remembered
+    from ledgerlens.llm.arrow_text import RememberedInBytes
 
-    kept = Remembered(limit=2000)
+    kept = RememberedInBytes(limit=2000)
     for begin in range(0, 60, 7):
         values = pa.array([f"segment {k}".encode() for k in range(begin, begin + 9)], pa.large_binary())
         bounds, numbers = kept.lists(values, lambda new: (
