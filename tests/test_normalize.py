@@ -201,6 +201,28 @@ def test_duplicates_need_no_sort(spark):
     assert "SortAggregate" not in groups
 
 
+def test_many_duplicates_take_one_shuffle_of_rows(spark):
+    """Repeated ids too many to be broadcast: rows move once, hot and blank ids are dealt by their order."""
+    rows = [(None if k % 17 == 0 else "" if k % 5 == 0 else "hot" if k % 2 else f"id{k % 23}", k // 3, -k, "x" * 20)
+            for k in range(300)]
+    frame = spark.createDataFrame(rows, "source_id string, a int, b int, cell string")
+    for hot in (10, 1000):
+        marked = classify.mark_duplicates(frame, order_by=["a", "b"], most=0, hot_rows=hot)
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "Aggregate" not in plan
+        assert marked.columns == [*frame.columns, "is_duplicate"]
+        seen, expected = set(), {}
+        for source_id, a, b, _ in sorted(rows, key=lambda r: (r[1], r[2])):
+            expected[a, b] = bool(source_id) and source_id in seen
+            seen.add(source_id)
+        assert {(r.a, r.b): r.is_duplicate for r in marked.collect()} == expected
+    # rows whose order key is that of the first are no duplicates of it, on either way
+    twice = frame.unionAll(frame)
+    flags = [sorted((r.a, r.b, r.is_duplicate) for r in classify.mark_duplicates(
+        twice, order_by=["a", "b"], most=most, hot_rows=hot).collect()) for most, hot in ((1000, 10), (0, 10), (0, 1000))]
+    assert flags[0] == flags[1] == flags[2]
+
+
 def test_scratch_goes_with_its_application(spark, monkeypatch):
     from pathlib import Path
 
