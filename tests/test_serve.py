@@ -1,3 +1,7 @@
+import random
+from pathlib import Path
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -6,7 +10,9 @@ from ledgerlens.functions.periods import usable_period_range
 from ledgerlens.operators import digests, lineage, registry
 from ledgerlens.operators.quality import QualityGateError
 from ledgerlens.plans import normalize, publish, serve, store
+from ledgerlens.session import materialize
 from ledgerlens.sources import csv_files, shared_files
+from workload import queries
 
 
 @pytest.fixture(scope="module")
@@ -288,6 +294,31 @@ def test_archive_keeps_bytes(spark, tmp_path):
         publish.archive_raw(spark, str(raw), records, str(tmp_path / "pub"), "r2")
 
 
+def test_archived_files_are_read_few_at_a_time(spark, tmp_path, monkeypatch):
+    """Row groups of an archive are bounded in bytes: a reader holds a whole one."""
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    draw = random.Random(1)
+    for k in range(12):
+        (raw / f"{k}.json").write_bytes(draw.randbytes(1 << 18))
+    monkeypatch.setattr(publish, "ARCHIVE_GROUP_BYTES", 1 << 19)
+    records = materialize(lineage.file_fingerprints(spark, str(raw)), "records")
+    said = publish.archive_raw(spark, str(raw), records, str(tmp_path / "pub"), "r1")
+    groups = []
+    for part in Path(said["folder"], "files").glob("*.parquet"):
+        kept = pq.ParquetFile(part).metadata
+        groups += [kept.row_group(g).num_rows for g in range(kept.num_row_groups)]
+    assert sum(groups) == said["files"] == 12 and max(groups) <= 2
+
+
+def test_landed_pages_are_many_files(spark, monkeypatch):
+    """API pages are landed in files of a bounded number of pages."""
+    monkeypatch.setattr(queries, "LANDED_PAGES", 2)
+    path = queries._land_envelopes(spark, "/root/testdata/sf0.001")
+    pages = [r.n for r in spark.read.text(path).groupBy("_metadata.file_path").agg(F.count("*").alias("n")).collect()]
+    assert sum(pages) > 80 and max(pages) <= 2
+
+
 def test_digests_do_not_depend_on_files(spark):
     rows = [(k % 7, None if k % 5 == 0 else f"t{k % 11}", k / 2) for k in range(100)]
     frame = spark.createDataFrame(rows, "a int, b string, c double")
