@@ -35,6 +35,8 @@ ESCAPE, ESCAPE_LOW = 0, 15
 #: An id needs selector s or a wider one if it reaches LIMITS[s - 1].
 LIMITS = np.array([1 << w for w in range(1, 9)] + [1 << w for w in (10, 12, 15, 20, 30, 60)], np.uint64)
 BLOCK = 1024
+#: Bytes of text that a task encodes at a time, and whose ids are one extent.
+CHUNK_BYTES = 8 << 20
 MAGIC = b"S8B2"
 HEADER = np.dtype([("magic", "S4"), ("docs", "<u4"), ("blocks", "<u4"), ("block", "<u4"),
                    ("ids", "<u8"), ("words", "<u8")])
@@ -229,7 +231,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 
     def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before, part = TaskContext.get().partitionId(), 0, 0
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=CHUNK_BYTES):
             ids, lengths = encoder(tokenizer).encode(chunk.column("text"))
             ends = np.cumsum(lengths)
             ids = np.insert(ids, ends, end_id)

@@ -61,6 +61,18 @@ def test_segments_do_not_change_ids():
         assert ids[end - n:end].tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_token_files_take_some_text_at_a_time(spark, tmp_path, monkeypatch):
+    """Extents are cut by bytes of text, and give what one extent gives."""
+    rows = [(k, f"text number {k} " * 9) for k in range(60)]
+    whole = token_files.token_files(frame(spark, rows), BPE, 2, str(tmp_path / "one")).collect()
+    assert token_files.CHUNK_BYTES <= 8 << 20
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", 1000)
+    cut = token_files.token_files(frame(spark, rows), BPE, 2, str(tmp_path / "many")).collect()
+    assert sorted(cut) == sorted(whole)
+    extents = [spark.read.parquet(str(tmp_path / name)).count() for name in ("one", "many")]
+    assert extents[1] > 5 and extents[1] > extents[0]
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
