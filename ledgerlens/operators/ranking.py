@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import contract as C
@@ -19,13 +19,7 @@ MEASURES = [
 ]
 
 
-def monthly_partials(classified: DataFrame, *, order_by: Sequence[str]) -> DataFrame:
-    """One pass over the rows: sums by period, category, entity and the cells that may vary
-    within those, with the first and last order key of each group.
-
-    What follows, the groups with their last year and month and the category names with
-    their first spelling, only merges these few rows.
-    """
+def _sums() -> list[Column]:
     sums = {
         "total_monto": f"coalesce(sum(monto) FILTER (WHERE row_status = '{C.STATUS_OK}'), 0)",
         "registros": f"count_if(row_status = '{C.STATUS_OK}')",
@@ -36,28 +30,56 @@ def monthly_partials(classified: DataFrame, *, order_by: Sequence[str]) -> DataF
             f"count_if(row_status IN ('{C.STATUS_NO_AMOUNT}', '{C.STATUS_AMOUNT_IN_TEXT}'))",
         "registros_excluidos": f"count_if(row_status <> '{C.STATUS_OK}')",
     }
-    return classified.groupBy(*GRAIN, "ano", "mes", "categoria_nombre").agg(
-        *[F.expr(sums[m]).alias(m) for m in MEASURES],
-        F.min(order_key(order_by)).alias("first_seen"),
-        F.max(order_key(order_by)).alias("last_seen"))
+    return [F.expr(sums[m]).alias(m) for m in MEASURES]
+
+
+def monthly_partials(
+    classified: DataFrame, *, order_by: Sequence[str] | None = None
+) -> DataFrame:
+    """One pass over the rows: sums by period, category, entity and the cells that may vary
+    within those, with the first and last order key of each group if ``order_by`` is given.
+
+    What follows, the groups with their last year and month and the category names with
+    their first spelling, only merges these few rows.
+    """
+    seen = [] if order_by is None else [
+        F.min(order_key(order_by)).alias("first_seen"), F.max(order_key(order_by)).alias("last_seen")]
+    return classified.groupBy(*GRAIN, "ano", "mes", "categoria_nombre").agg(*_sums(), *seen)
+
+
+def order_decides(partials: DataFrame) -> bool:
+    """Whether some period has several year and month cells, or some category several names."""
+    varied = [
+        partials.select(key, *cells).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1)
+        .select("n") for key, cells in (("periodo", ["ano", "mes"]), ("categoria_id", ["categoria_nombre"]))]
+    return not varied[0].unionAll(varied[1]).isEmpty()
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:
-    """Totals per period, category and entity; year and month are the last row's."""
-    merged = partials.groupBy(*GRAIN).agg(
-        F.expr("max_by(struct(ano, mes), last_seen)").alias("__when"),
-        *[F.sum(m).alias(m) for m in MEASURES])
+    """Totals per period, category and entity; year and month are the last row's.
+
+    Partials without order keys must be such that no order decides.
+    """
+    sums = [F.sum(m).alias(m) for m in MEASURES]
+    if "last_seen" not in partials.columns:
+        return partials.groupBy(*GRAIN, "ano", "mes").agg(*sums)
+    merged = partials.groupBy(*GRAIN).agg(F.expr("max_by(struct(ano, mes), last_seen)").alias("__when"), *sums)
     return merged.selectExpr(*GRAIN, "__when.ano AS ano", "__when.mes AS mes", *MEASURES)
 
 
 def category_names(partials: DataFrame) -> DataFrame:
     """Name of every category: the spelling of its first row."""
+    if "first_seen" not in partials.columns:
+        return partials.select("categoria_id", "categoria_nombre").distinct()
     return partials.groupBy("categoria_id").agg(
         F.expr("min_by(categoria_nombre, first_seen)").alias("categoria_nombre"))
 
 
 def monthly_aggregate(classified: DataFrame, *, order_by: Sequence[str]) -> DataFrame:
-    return merge_partials(monthly_partials(classified, order_by=order_by))
+    """Totals per period, category and entity in one aggregate; year and month are the last row's."""
+    last = F.max_by(F.struct("ano", "mes"), order_key(order_by)).alias("__when")
+    totals = classified.groupBy(*GRAIN).agg(last, *_sums())
+    return totals.selectExpr(*GRAIN, "__when.ano AS ano", "__when.mes AS mes", *MEASURES)
 
 
 def category_variants(classified: DataFrame, *, order_by: Sequence[str]) -> DataFrame:
@@ -115,10 +137,13 @@ def ranking_groups(
 ) -> DataFrame:
     """Ranked groups with their names; groups without ranked rows are dropped.
 
-    The partial sums are stored once and used twice.  Names join the groups, which are
-    far fewer than the rows they came from.
+    The partial sums are stored once and used twice.  They hold plain numbers, a hash aggregate;
+    order keys are taken too, in a second pass, only where the stored sums show that the order decides
+    a year, month or name.  Names join the groups, which are far fewer than the rows they came from.
     """
-    partials = materialize(monthly_partials(classified, order_by=order_by), "partials")
+    partials = materialize(monthly_partials(classified), "partials")
+    if order_decides(partials):
+        partials = materialize(monthly_partials(classified, order_by=order_by), "partials")
     named = with_entity_name(
         merge_partials(partials).where("registros > 0"), entity_names, raw_name=None)
     return named.join(category_names(partials), "categoria_id", "left")

@@ -223,6 +223,26 @@ def test_many_duplicates_take_one_shuffle_of_rows(spark):
     assert flags[0] == flags[1] == flags[2]
 
 
+def test_order_keys_only_where_the_order_decides(spark, expenses):
+    """Sums by plain numbers alone, unless a month or a category is spelled in several ways."""
+    plain = "a | 2022-01 | 1 | A | Agua | 5\nb | 2022-01 | 1 | A | Agua | 7\nc | 2022-02 | 2 | B | Luz | 1"
+    for text, decides in ((plain, False), (plain + "\nd | 2022-01 | 1 | A | Agua. | 2", True)):
+        rows = classify.classify_rows(expenses(text), order_by=["pos"])
+        partials = ranking.monthly_partials(rows)
+        assert ranking.order_decides(partials) == decides
+        assert "SortAggregate" not in partials._jdf.queryExecution().executedPlan().toString()
+        names = spark.createDataFrame([("senado_unidad_1", "A")], "parlamentario_id string, parlamentario_nombre string")
+        found = {(r.periodo, r.categoria_id, r.total_monto, r.ano, r.mes, r.categoria_nombre)
+                 for r in ranking.ranking_groups(rows, names, order_by=["pos"]).collect()}
+        assert found == {("2022-01", "agua", 12 + 2 * decides, "2022", "1", "Agua"), ("2022-02", "luz", 1, "2022", "2", "Luz")}
+    months = expenses(plain).withColumn("mes", F.when(F.col("pos") == 2, "01").otherwise(F.col("mes")))
+    rows = classify.classify_rows(months, order_by=["pos"])
+    found = ranking.ranking_groups(rows, names, order_by=["pos"]).where("categoria_id = 'agua'").collect()
+    assert [(r.total_monto, r.mes) for r in found] == [(12, "01")]
+    found = ranking.monthly_aggregate(rows, order_by=["pos"]).where("categoria_id = 'agua'").collect()
+    assert [(r.total_monto, r.mes) for r in found] == [(12, "01")]
+
+
 def test_scratch_goes_with_its_application(spark, monkeypatch):
     from pathlib import Path
 
