@@ -1,17 +1,21 @@
-"""Operator 8: language-model scoring by Elias-Fano n-gram tries of order two.
+"""Operator 8: language-model scoring by Elias-Fano n-gram tries of order two or three.
 
 The model is absolute discounting over add-one unigrams,
+    p(w | u v) = max(c(u v w) - D, 0) / c(u v) + mass(u v) * p(w | v),
     p(w | v) = max(c(v w) - D, 0) / c(v) + mass(v) * p(w),     p(w) = (c(w) + 1) / (N + V + 1),
-with one end token after each text, which is also the context of a text's first word. Pairs seen
-once in training leave the trie and give their share to mass(v), so it stays a distribution.
-
-The corpus is tokenised once, in chunks. A chunk sends each shard of the context words' hashes its
-distinct words and pairs with their training counts: one shuffle of data that is already counted.
-A shard adds up what all chunks sent, builds its trie and answers every chunk; the answers meet the
-chunk's tokens again and give each text its sums. A trie has two levels: word hashes with pointers
-into the second level, and of each word its successors, each as a number relative to its context,
-made ascending over all contexts; both with 8-bit codes of discounted probabilities and masses.
-Levels are Elias-Fano sequences in one array that is memory-mapped while it is queried.
+with one end token after each text, which is also the context of a text's first words. A context
+that training lacks has the mass one. Grams of two and three words seen at most ``prune`` times
+in training leave the trie and give their share to the mass, so it stays a distribution.
+
+The corpus is tokenised once, in chunks. A chunk sends each shard of the hashes of the words before
+a word its distinct words, contexts and grams with their training counts: one shuffle of data that is
+already counted. A shard adds up what all chunks sent, builds its trie and answers every chunk with
+codes; the answers meet the chunk's tokens again and give each text its sums. A trie has word hashes
+with pointers into two second levels, the successors of each word and the words before it; each of
+the latter is a context of two words with pointers into the third level. There a successor is its
+place among the successors of the context's last word, which is a small number. Children are made
+ascending over all parents, and have 8-bit codes of discounted probabilities and masses. Levels are
+Elias-Fano sequences in one array that is memory-mapped while it is queried.
 """
 
 from __future__ import annotations
@@ -34,13 +38,14 @@ from .elias_fano import EliasFano
 from .word_features import remainder
 
 DISCOUNT = 0.75
-#: Pairs seen at most so often in training are left to the mass.
+#: Grams seen at most so often in training are left to the mass.
 PRUNE = 1
-#: Bits of a successor relative to its context.
+#: Bits of a word relative to the one before or after it.
 SUCCESSOR_BITS = 32
-CHUNK_BYTES = 16 << 20
+LOW = np.uint64((1 << SUCCESSOR_BITS) - 1)
+CHUNK_BYTES = 8 << 20
 #: Tokens for each shard.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Hash of the end token: a word that no text can hold.
 END = int(string_hashes(pa.array(["\n"]))[0])
 CODES = 255
@@ -71,14 +76,25 @@ class Codebook:
         return (codes + 1).astype(np.uint8), sums / np.maximum(1, n)
 
 
+def _joint(parent: np.ndarray, child: np.ndarray, bits: int = SUCCESSOR_BITS) -> np.ndarray:
+    return parent.astype(np.uint64) << np.uint64(bits) | child.astype(np.uint64)
+
+
+def _pointers(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes)))
+
+
 class Trie:
     """Read-only trie over a memory-mapped array of 64-bit words."""
 
+    LEVELS = ("words", "successor_pointers", "successors", "context_pointers", "contexts", "gram_pointers", "grams")
+    BOOKS = ("mass", "pair", "context", "gram")
+
     def __init__(self, memory: np.ndarray):
-        self.base = memory[0]
-        self.words, at = EliasFano.at(memory, 1)
-        self.pointers, at = EliasFano.at(memory, at)
-        self.successors, at = EliasFano.at(memory, at)
+        self.base, self.rank_bits, at = memory[0], int(memory[1]), 2
+        for name in self.LEVELS:
+            level, at = EliasFano.at(memory, at)
+            setattr(self, name, level)
 
         def field(kind, length: int) -> np.ndarray:
             nonlocal at
@@ -87,32 +103,59 @@ class Trie:
             at += size
             return out
 
-        self.mass_book = field(np.float64, CODES + 1)
-        self.pair_book = field(np.float64, CODES + 1)
-        self.mass_codes = field(np.uint8, self.words.n)
-        self.pair_codes = field(np.uint8, self.successors.n)
+        # value 0 of a book is what holds where there is no code: all the mass, no probability
+        self.books = [field(np.float64, CODES + 1) for _ in self.BOOKS]
+        levels = (self.words, self.successors, self.contexts, self.grams)
+        self.codes = [field(np.uint8, level.n) for level in levels]
 
     @staticmethod
-    def build(hashes: np.ndarray, counts: np.ndarray, context: np.ndarray, successor: np.ndarray,
-              pair_counts: np.ndarray, prune: int, discount: float) -> np.ndarray:
-        """Array of a trie over words in order of hash and pairs in order of (context, successor)."""
-        n = len(hashes)
+    def build(hashes: np.ndarray, counts: np.ndarray, contexts: np.ndarray, grams: np.ndarray,
+              totals: np.ndarray, order: int, prune: int, discount: float) -> np.ndarray:
+        """Array of a trie. ``contexts`` are ascending (word, word before it), ``grams`` ascending
+        (context, successor) with their counts; words are places in the ascending ``hashes``."""
+        known = np.flatnonzero(counts)  # the trie holds words of training alone
+        number = np.full(len(hashes), -1)
+        number[known] = np.arange(len(known))
+        hashes, counts, n = hashes[known], counts[known], len(known)
+        learnt = np.flatnonzero(totals)
+        context, successor, totals = (grams[learnt] >> np.uint64(32)).astype(np.int64), grams[learnt] & LOW, totals[learnt]
+        node = number[(contexts >> np.uint64(32)).astype(np.int64)]  # -1 only where nothing was learnt
+
+        pairs, pair = np.unique(_joint(node[context], successor), return_inverse=True)
+        pair_counts = np.bincount(pair, totals, len(pairs)).astype(np.int64)
+        word = (pairs >> np.uint64(SUCCESSOR_BITS)).astype(np.int64)
         kept = pair_counts > prune
-        dropped = np.bincount(context[~kept], pair_counts[~kept], n)
-        types = np.bincount(context[kept], minlength=n)
-        mass = (discount * types + dropped) / np.maximum(1, counts)
-        context, successor, pair_counts = context[kept], successor[kept], pair_counts[kept]
-        mass_codes, mass_book = Codebook.make(mass)
-        pair_codes, pair_book = Codebook.make((pair_counts - discount) / counts[context])
-        pointers = np.concatenate(([0], np.cumsum(types)))
-        ascending = (context.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor.astype(np.uint64)
-        base = hashes[0] if n else np.uint64(0)
-        parts = [np.array([base], np.uint64)]
-        for values in (hashes - base, pointers, ascending):
+        types = np.bincount(word[kept], minlength=n)
+        mass = (discount * types + np.bincount(word[~kept], pair_counts[~kept], n)) / np.maximum(1, counts)
+        pairs, word, pair_counts = pairs[kept], word[kept], pair_counts[kept]
+        place = np.cumsum(kept) - 1  # of each pair among those that are kept
+        pointers = _pointers(types)
+
+        if order < 3:
+            totals = totals[:0]
+        deep = np.flatnonzero(totals > prune)  # so their pairs are kept too
+        whole = np.bincount(context[:len(totals)], totals, len(contexts))
+        gram_types = np.bincount(context[deep], minlength=len(contexts))
+        stored = np.flatnonzero(gram_types)
+        told = np.bincount(context[deep], totals[deep], len(contexts))
+        left = (discount * gram_types + whole - told)[stored] / whole[stored]
+        at = np.zeros(len(contexts), np.int64)
+        at[stored] = np.arange(len(stored))
+        rank = place[pair[deep]] - pointers[node[context[deep]]]
+        rank_bits = int(types.max() if n else 0).bit_length()
+        third = np.unique(_joint(at[context[deep]], rank, rank_bits), return_index=True)
+        deep = deep[third[1]]
+
+        parts = [np.array([hashes[0] if n else 0, rank_bits], np.uint64)]
+        for values in (hashes - parts[0][0], pointers, pairs,
+                       _pointers(np.bincount(node[stored], minlength=n)), _joint(node[stored], contexts[stored] & LOW),
+                       _pointers(gram_types[stored]), third[0]):
             parts += EliasFano.encode(values).parts()
-        for book in (mass_book, pair_book):
-            parts.append(np.concatenate((book, np.zeros(CODES + 1 - len(book)))))
-        parts += [mass_codes, pair_codes]
+        values = (mass, (pair_counts - discount) / counts[word], left, (totals[deep] - discount) / whole[context[deep]])
+        coded = [Codebook.make(v) for v in values]
+        for (_, book), none in zip(coded, (1.0, 0.0, 1.0, 0.0), strict=True):
+            parts.append(np.concatenate(([none], 10.0 ** book, np.zeros(CODES - len(book)))))
+        parts += [codes for codes, _ in coded]
         padded = [np.frombuffer(p.tobytes() + b"\0" * (-p.nbytes % 8), np.uint64) for p in parts]
         return np.concatenate(padded)
 
@@ -126,19 +169,41 @@ class Trie:
         found[found] = self.words.get(at[found]) == relative[found]
         return np.where(found, at, -1)
 
-    def pairs(self, node: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Codes of pairs: successor search within the context's part of the second level."""
-        out = np.zeros(len(node), np.uint8)
-        real = np.flatnonzero(node >= 0)
-        node, successor = node[real], successor[real]
-        begin, end = self.pointers.get(node), self.pointers.get(node + 1)
-        wanted = (node.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor.astype(np.uint64)
-        at = self.successors.find(wanted, begin, end)
-        inside = at < end.astype(np.int64)
-        inside[inside] = self.successors.get(at[inside]) == wanted[inside]
-        out[real[inside]] = self.pair_codes[at[inside]]
+    @staticmethod
+    def _children(pointers: EliasFano, level: EliasFano, parent: np.ndarray, child: np.ndarray,
+                  bits: int = SUCCESSOR_BITS) -> np.ndarray:
+        """Places of children, searched within their parent's part of the level; -1 where they are not."""
+        out = np.full(len(parent), -1)
+        real = np.flatnonzero(parent >= 0)
+        parent = parent[real]
+        begin, end = pointers.get(parent).astype(np.int64), pointers.get(parent + 1).astype(np.int64)
+        wanted = _joint(parent, child[real], bits)
+        at = level.find(wanted, begin, end)
+        inside = at < end
+        inside[inside] = level.get(at[inside]) == wanted[inside]
+        out[real[inside]] = at[inside]
         return out
 
+    def look_up(self, hashes: np.ndarray, contexts: np.ndarray, grams: np.ndarray) -> list[np.ndarray]:
+        """Codes of words, of the pairs in grams, of contexts and of grams; laid out as for ``build``."""
+        node = self.nodes(hashes)
+        word = (contexts >> np.uint64(32)).astype(np.int64)
+        context = (grams >> np.uint64(32)).astype(np.int64)
+        pairs, pair = np.unique(_joint(word[context], grams & LOW), return_inverse=True)
+        owner = node[(pairs >> np.uint64(32)).astype(np.int64)]
+        successor = self._children(self.successor_pointers, self.successors, owner, pairs & LOW)
+        before = self._children(self.context_pointers, self.contexts, node[word], contexts & LOW) \
+            if self.contexts.n else np.full(len(contexts), -1)
+        first = np.zeros(len(owner), np.int64)
+        first[owner >= 0] = self.successor_pointers.get(owner[owner >= 0])
+        rank, parent = (successor - first)[pair], before[context]
+        parent = np.where(successor[pair] >= 0, parent, -1)
+        gram = self._children(self.gram_pointers, self.grams, parent, rank, self.rank_bits)
+        found = (node, successor, before, gram)
+        coded = [np.append(codes, np.uint8(0))[places] for codes, places in zip(self.codes, found, strict=True)]
+        coded[1] = coded[1][pair]
+        return coded
+
 
 def mapped(memory: np.ndarray) -> np.ndarray:
     """The array as a memory-mapped file without a name: it goes with the task."""
@@ -178,92 +243,106 @@ def token_chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, TOKENS)
 
 
-def _pairs_of(row: dict):
-    """Vocabulary, token places, their contexts, training marks; pair keys and each token's pair."""
+def _grams_of(row: dict, order: int):
+    """Vocabulary, token places, lengths, training marks; contexts, grams and each token's gram.
+
+    A context is the word before a token with the one before that (none for order two), a gram is
+    a context's place with the token.
+    """
     vocabulary = _unpacked(row["vocabulary"], np.uint64)
     tokens = _unpacked(row["tokens"], np.int32).astype(np.int64)
     lengths = np.array(row["lengths"], np.int64)
     end = int(np.searchsorted(vocabulary, np.uint64(END)))
-    context = np.append(end, tokens[:-1])  # the end of a text is the context of the next one
+    before = np.append(end, tokens[:-1])  # the end of a text is the context of the next one
+    earlier = np.zeros(len(tokens), np.int64)
+    if order > 2:
+        earlier = np.append([end, end], tokens)[:len(tokens)]
+        earlier[np.cumsum(lengths) - lengths] = end  # nothing of the text before
     training = np.repeat(np.array(row["training"], bool), lengths)
-    keys, pair = np.unique(context << 32 | tokens, return_inverse=True)
-    return vocabulary, tokens, lengths, training, keys, pair
+    contexts, context = np.unique(before << 32 | earlier, return_inverse=True)
+    grams, gram = np.unique(context << 32 | tokens, return_inverse=True)
+    return vocabulary, tokens, lengths, training, contexts, grams, gram
 
 
 def _shard_bounds(n_shards: int) -> np.ndarray:
     return np.array([(k << 64) // n_shards for k in range(1, n_shards)], np.uint64)
 
 
-SENT = "shard int, batch bigint, words binary, counts binary, pairs binary, successors binary, pair_counts binary"
-ANSWERS = "batch bigint, shard int, word_counts binary, masses binary, pair_values binary, n_tokens bigint, n_words bigint, trie binary"
+SENT = ("shard int, batch bigint, words binary, counts binary, contexts binary, earlier binary, grams binary, "
+        "successors binary, gram_counts binary")
+ANSWERS = ("batch bigint, shard int, word_counts binary, masses binary, pairs binary, contexts binary, grams binary, "
+           "books binary, n_tokens bigint, n_words bigint, trie binary")
+CODED = ("masses", "pairs", "contexts", "grams")
 
 
-def _sent(tokens: DataFrame, n_shards: int) -> DataFrame:
+def _sent(tokens: DataFrame, n_shards: int, order: int) -> DataFrame:
     bounds = _shard_bounds(n_shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                vocabulary, token, _, training, keys, pair = _pairs_of(row)
+                vocabulary, token, _, training, contexts, grams, gram = _grams_of(row, order)
                 counts = np.bincount(token[training], minlength=len(vocabulary))
-                pair_counts = np.bincount(pair[training], minlength=len(keys))
-                context = keys >> 32
-                successor = (vocabulary[keys & 0xFFFFFFFF] >> np.uint64(64 - SUCCESSOR_BITS)).astype(np.uint32)
+                gram_counts = np.bincount(gram[training], minlength=len(grams))
+                short = (vocabulary >> np.uint64(64 - SUCCESSOR_BITS)).astype(np.uint32)
+                word, context = contexts >> 32, grams >> 32
+                earlier, successor = short[contexts & 0xFFFFFFFF], short[grams & 0xFFFFFFFF]
+                if order < 3:
+                    earlier = np.zeros(len(contexts), np.uint32)
                 word_edges = np.concatenate(([0], np.searchsorted(vocabulary, bounds), [len(vocabulary)]))
-                pair_edges = np.searchsorted(context, word_edges)
-                per_word = np.bincount(context, minlength=len(vocabulary))
+                context_edges = np.searchsorted(word, word_edges)
+                gram_edges = np.searchsorted(context, context_edges)
+                per_word = np.bincount(word, minlength=len(vocabulary))
+                per_context = np.bincount(context, minlength=len(contexts))
                 for k in np.flatnonzero(np.diff(word_edges)).tolist():
-                    w = slice(word_edges[k], word_edges[k + 1])
-                    p = slice(pair_edges[k], pair_edges[k + 1])
+                    w, c, g = (slice(edges[k], edges[k + 1]) for edges in (word_edges, context_edges, gram_edges))
                     yield pa.RecordBatch.from_pydict({
                         "shard": pa.array([k], pa.int32()), "batch": pa.array([row["batch"]], pa.int64()),
                         "words": pa.array([vocabulary[w].tobytes()], pa.binary()),
                         "counts": pa.array([_packed(counts[w].astype(np.uint32))], pa.binary()),
-                        "pairs": pa.array([_packed(per_word[w].astype(np.uint32))], pa.binary()),
-                        "successors": pa.array([successor[p].tobytes()], pa.binary()),
-                        "pair_counts": pa.array([_packed(pair_counts[p].astype(np.uint32))], pa.binary())})
+                        "contexts": pa.array([_packed(per_word[w].astype(np.uint32))], pa.binary()),
+                        "earlier": pa.array([_packed(earlier[c])], pa.binary()),
+                        "grams": pa.array([_packed(per_context[c].astype(np.uint32))], pa.binary()),
+                        "successors": pa.array([_packed(successor[g])], pa.binary()),
+                        "gram_counts": pa.array([_packed(gram_counts[g].astype(np.uint32))], pa.binary())})
 
     return tokens.mapInArrow(run, SENT)
 
 
-def _answers(sent: DataFrame, n_shards: int, keep_tries: bool) -> DataFrame:
+def _answers(sent: DataFrame, n_shards: int, order: int, prune: int, keep_tries: bool) -> DataFrame:
     """Every shard's trie, queried for every chunk that has words in it."""
 
     def answer(shard: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        got = [(np.frombuffer(r["words"], np.uint64), _unpacked(r["counts"], np.uint32),
-                _unpacked(r["pairs"], np.uint32), np.frombuffer(r["successors"], np.uint32),
-                _unpacked(r["pair_counts"], np.uint32)) for r in rows]
-        hashes, place = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([g[1] for g in got]), len(hashes)).astype(np.int64)
-        context = np.repeat(place, np.concatenate([g[2] for g in got]))
-        key = context.astype(np.uint64) << np.uint64(32) | np.concatenate([g[3] for g in got])
-        pair_counts = np.concatenate([g[4] for g in got])
-        learnt = pair_counts > 0
-        keys, which = np.unique(key[learnt], return_inverse=True)
-        totals = np.bincount(which, pair_counts[learnt], len(keys)).astype(np.int64)
-        known = np.flatnonzero(counts)  # the trie holds words of training alone
-        number = np.full(len(hashes), -1)
-        number[known] = np.arange(len(known))
-        memory = Trie.build(
-            hashes[known], counts[known], number[(keys >> np.uint64(32)).astype(np.int64)],
-            keys & np.uint64(0xFFFFFFFF), totals, PRUNE, DISCOUNT)
+        def all_of(name: str) -> tuple[np.ndarray, np.ndarray]:
+            """A column of all chunks, and where each chunk's part begins and ends."""
+            parts = [np.frombuffer(r[name], np.uint64) if name == "words" else _unpacked(r[name], np.uint32) for r in rows]
+            return np.concatenate(parts), _pointers(np.array([len(p) for p in parts]))
+
+        words, word_bounds = all_of("words")
+        hashes, place = np.unique(words, return_inverse=True)
+        counts = np.bincount(place, all_of("counts")[0], len(hashes)).astype(np.int64)
+        earlier, context_bounds = all_of("earlier")
+        contexts, context = np.unique(_joint(np.repeat(place, all_of("contexts")[0]), earlier), return_inverse=True)
+        successors, gram_bounds = all_of("successors")
+        grams, gram = np.unique(_joint(np.repeat(context, all_of("grams")[0]), successors), return_inverse=True)
+        del words, earlier, successors
+        totals = np.bincount(gram, all_of("gram_counts")[0], len(grams)).astype(np.int64)
+        memory = Trie.build(hashes, counts, contexts, grams, totals, order, prune, DISCOUNT)
+        del totals
         trie = Trie(mapped(memory))
-        at = 0
-        for k, (row, g) in enumerate(zip(rows, got, strict=True)):
-            node = trie.nodes(g[0])
-            codes = trie.pairs(np.repeat(node, g[2]), g[3])
-            mass = np.where(node >= 0, trie.mass_book[np.maximum(0, trie.mass_codes[node].astype(int) - 1)], 0.0) \
-                if trie.words.n else np.zeros(len(node))
-            pair = np.where(codes > 0, trie.pair_book[np.maximum(0, codes.astype(int) - 1)], -np.inf)
-            mine = counts[place[at:at + len(g[0])]]
-            at += len(g[0])
+        mass, pair, before, deep = trie.look_up(hashes, contexts, grams)
+        books = _packed(np.array(trie.books, np.float64))
+        for k, row in enumerate(rows):
+            w, c, g = (at[bounds[k]:bounds[k + 1]] for at, bounds in (
+                (place, word_bounds), (context, context_bounds), (gram, gram_bounds)))
+            coded = {"masses": mass[w], "pairs": pair[g], "contexts": before[c], "grams": deep[g]}
             yield pa.RecordBatch.from_pydict({
                 "batch": pa.array([row["batch"]], pa.int64()), "shard": pa.array([shard], pa.int32()),
-                "word_counts": pa.array([_packed(mine)], pa.binary()),
-                "masses": pa.array([_packed(mass.astype(np.float32))], pa.binary()),
-                "pair_values": pa.array([_packed(pair.astype(np.float32))], pa.binary()),
+                "word_counts": pa.array([_packed(counts[w])], pa.binary()),
+                **{name: pa.array([_packed(coded[name])], pa.binary()) for name in CODED},
+                "books": pa.array([books], pa.binary()),
                 "n_tokens": pa.array([int(counts.sum()) if k == 0 else 0], pa.int64()),
-                "n_words": pa.array([len(known) if k == 0 else 0], pa.int64()),
+                "n_words": pa.array([int(np.count_nonzero(counts)) if k == 0 else 0], pa.int64()),
                 "trie": pa.array([memory.tobytes() if keep_tries and k == 0 else None], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,12 +364,12 @@ RESULT = ("doc_id bigint, training boolean, n_tokens bigint, n_known bigint, tra
           "base_score double, score double")
 
 
-def score_texts(docs: DataFrame, training) -> DataFrame:
+def score_texts(docs: DataFrame, training, order: int = 2, prune: int = PRUNE) -> DataFrame:
     """doc_id, training, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     The model learns from the rows for which the column ``training`` holds. base_score is the
-    add-one unigram model's log10 probability, score that of the pair model. Null and empty texts
-    are an end token alone. Repeated rows all stay. Without training rows all counts are zero.
+    add-one unigram model's log10 probability, score that of the model of ``order`` two or three, without
+    grams seen at most ``prune`` times. Null and empty texts are an end token alone. Repeated rows all stay. Without training rows all counts are zero.
     Only doc_id and text are read.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
@@ -298,21 +377,25 @@ def score_texts(docs: DataFrame, training) -> DataFrame:
     tokens = materialize(token_chunks(rows), "tokens")
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     n_shards = max(1, math.ceil(total / SHARD_TOKENS))
-    answers = materialize(_answers(_sent(tokens, n_shards), n_shards, keep_tries=True), "answers")
+    sent = _sent(tokens, n_shards, order)
+    answers = materialize(_answers(sent, n_shards, order, prune, keep_tries=True), "answers")
     learnt, distinct = answers.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     learnt, distinct = learnt or 0, distinct or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, token, lengths, _, keys, pair = _pairs_of(row)
+                _, token, lengths, _, contexts, grams, gram = _grams_of(row, order)
                 parts = sorted(row["answers"], key=lambda a: a["shard"])
                 counts = np.concatenate([_unpacked(a["word_counts"], np.int64) for a in parts])
-                mass = np.concatenate([_unpacked(a["masses"], np.float32) for a in parts]).astype(np.float64)
-                value = np.concatenate([_unpacked(a["pair_values"], np.float32) for a in parts])
-                single = np.log10((counts + 1) / (learnt + distinct + 1))
-                context, word = keys >> 32, keys & 0xFFFFFFFF
-                log_pair = np.log10(10.0 ** value.astype(np.float64) + 10.0 ** (mass[context] + single[word]))
+                books = [_unpacked(a["books"], np.float64).reshape(len(CODED), -1) for a in parts]
+                mass, pair, left, deep = (
+                    np.concatenate([book[k][_unpacked(a[name], np.uint8)] for a, book in zip(parts, books, strict=True)])
+                    for k, name in enumerate(CODED))
+                base = (counts + 1) / (learnt + distinct + 1)
+                context, word = grams >> 32, grams & 0xFFFFFFFF
+                log_gram = np.log10(deep + left[context] * (pair + mass[contexts >> 32][context] * base[word]))
+                single = np.log10(base)
                 first = np.cumsum(lengths) - lengths
                 n = len(lengths)
                 yield pa.RecordBatch.from_pydict({
@@ -321,19 +404,21 @@ def score_texts(docs: DataFrame, training) -> DataFrame:
                     "n_known": pa.array(np.add.reduceat((counts > 0)[token].astype(np.int64), first)),
                     "train_tokens": pa.array([learnt] * n, pa.int64()),
                     "base_score": pa.array(np.add.reduceat(single[token], first)),
-                    "score": pa.array(np.add.reduceat(log_pair[pair], first))})
+                    "score": pa.array(np.add.reduceat(log_gram[gram], first))})
 
     answered = answers.groupBy("batch").agg(F.collect_list(
-        F.struct("shard", "word_counts", "masses", "pair_values")).alias("answers"))
+        F.struct("shard", "word_counts", *CODED, "books")).alias("answers"))
     return tokens.join(answered, "batch").mapInArrow(run, RESULT)
 
 
-def held_out_scores(docs: DataFrame, modulus: int = 7, remainder_: int = 2) -> DataFrame:
+def held_out_scores(
+    docs: DataFrame, modulus: int = 7, remainder_: int = 2, *, order: int = 2, prune: int = PRUNE,
+) -> DataFrame:
     """Scores by a model of the rows whose crc32(doc_id) modulo ``modulus`` is another remainder.
 
     A null doc_id is neither learnt from nor held out.
     """
     held = remainder("doc_id", modulus) == remainder_
-    scored = score_texts(docs, ~held)
+    scored = score_texts(docs, ~held, order, prune)
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens",
                          "n_known", "train_tokens", "base_score", "score")

@@ -59,7 +59,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.held_out_scores(table(spark, sf_dir, "documents"))
+    return ngram_lm.held_out_scores(table(spark, sf_dir, "documents"), order=3, prune=0)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

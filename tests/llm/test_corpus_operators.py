@@ -292,6 +292,54 @@ def test_scores(spark, monkeypatch):
     assert ngram_lm.held_out_scores(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("prune", [0, 1])
+def test_language_model_of_three_words(spark, monkeypatch, prune):
+    """Tries of three levels, with chunks and shards so small that contexts meet from many chunks."""
+    monkeypatch.setattr(ngram_lm, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 700)
+    draw = random.Random(9)
+    rows = [(k, " ".join(draw.choices("The the of and a ran dog cat sat on mat".split() + [f"w{k % 50}"],
+                                      k=draw.choice([1, 30, 200])))) for k in range(100, 150)]
+    rows += EDGES + EDGES[3:4]
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    single, pair, triple = Counter(), Counter(), Counter()
+    for i, text in rows:
+        if i is not None and not held[i]:
+            tokens = [*words_of(text), "\n"]
+            single.update(tokens)
+            pair.update(zip(["\n", *tokens], tokens, strict=False))
+            triple.update(zip(["\n", "\n", *tokens], ["\n", *tokens], tokens, strict=False))
+    total, distinct = sum(single.values()), len(single)
+
+    def discounted(counts, context, w, lower):
+        seen = {g[-1]: n for g, n in counts.items() if g[:-1] == context}
+        if not seen:
+            return lower
+        kept = {x: n for x, n in seen.items() if n > prune}
+        mass = (0.75 * len(kept) + sum(seen.values()) - sum(kept.values())) / sum(seen.values())
+        return max(kept.get(w, 0) - 0.75, 0) / sum(seen.values()) + mass * lower
+
+    known = {}
+
+    def probability(u, v, w):
+        if (u, v, w) not in known:
+            lower = discounted(pair, (v,), w, (single[w] + 1) / (total + distinct + 1))
+            known[u, v, w] = discounted(triple, (u, v), w, lower)
+        return known[u, v, w]
+
+    found = ngram_lm.held_out_scores(frame(spark, rows), order=3, prune=prune).collect()
+    assert len(found) == len(rows)
+    texts = dict(rows)
+    for r in found:
+        tokens = [*words_of(texts[r.doc_id]), "\n"]
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(tokens), total)
+        exact = sum(math.log10(probability(*g)) for g in zip(["\n", "\n", *tokens], ["\n", *tokens], tokens, strict=False))
+        assert r.score == pytest.approx(exact, rel=0.03, abs=0.05)  # codes of 8 bits
+    assert ngram_lm.held_out_scores(frame(spark, []), order=3, prune=prune).collect() == []
+    none = ngram_lm.score_texts(frame(spark, rows[:3]), F.lit(False), 3, prune).collect()  # nothing learnt
+    assert all(r.score == r.base_score == 0 for r in none)
+
+
 # --- classifiers ------------------------------------------------------------------------------
 
 
