@@ -133,11 +133,15 @@ def estimate(left: str, right: str):
     return F.expr(f"((1 - ({differ}) / {HASHES}D) - {chance}D) / {1 - chance}D")
 
 
-def near_pivots(keyed: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
-    """node, pivot, near of the pairs of a node and the smallest node that has a key in common."""
+def buckets(keyed: DataFrame) -> DataFrame:
+    """node, key and pivot, the smallest node of the key, of the keys that two nodes or more have."""
     pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-    pivots = pivots.where("pivot <> last").select("key", "pivot")
-    pairs = keyed.join(pivots, "key").where("node <> pivot").select("node", "pivot").distinct()
+    return keyed.join(pivots.where("pivot <> last").select("key", "pivot"), "key")
+
+
+def near_pivots(met: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
+    """node, pivot, near of the pairs of a node and the pivot of one of its buckets."""
+    pairs = met.where("node <> pivot").select("node", "pivot").distinct()
     left = nodes.select("node", F.col("signature").alias("x"))
     right = nodes.select(F.col("node").alias("pivot"), F.col("signature").alias("y"))
     both = pairs.join(left, "node").join(right, "pivot")
@@ -148,17 +152,20 @@ def families(nodes: DataFrame, floor: float) -> DataFrame:
     """node and family of nodes that may be near another one. ``nodes``: node, bands, signature.
 
     Nodes far from a bucket's pivot may be near each other: they meet again in finer buckets, by
-    the shared key together with each other band.
+    the shared key together with each other band. A band that no other node has brings nobody
+    together, alone or with another one, so it is left out first.
     """
-    judged = near_pivots(nodes.select("node", F.explode("bands").alias("key")), nodes, floor)
-    far = judged.where("NOT near").join(nodes.select("node", "bands"), "node").join(
-        nodes.select(F.col("node").alias("pivot"), F.col("bands").alias("pivot_bands")), "pivot")
+    met = materialize(buckets(nodes.select("node", F.explode("bands").alias("key"))), "buckets")
+    judged = near_pivots(met, nodes, floor)
+    common = met.groupBy("node").agg(F.collect_set("key").alias("bands"))  # at most BANDS of a node
+    far = judged.where("NOT near").join(common, "node").join(
+        common.select(F.col("node").alias("pivot"), F.col("bands").alias("pivot_bands")), "pivot")
     far = far.select("node", "bands", F.explode(F.array_intersect("bands", "pivot_bands")).alias("shared"))
     finer = far.select("node", F.explode(F.expr(
         "transform(filter(bands, b -> b <> shared), b -> b ^ shared)")).alias("key")).distinct()
     near = reduce(DataFrame.unionAll, [
         found.where("near").selectExpr("node AS a", "pivot AS b")
-        for found in (judged, near_pivots(finer, nodes, floor))])
+        for found in (judged, near_pivots(buckets(finer), nodes, floor))])
     return components(near).withColumnRenamed("label", "family")
 
 

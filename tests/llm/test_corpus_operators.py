@@ -500,3 +500,24 @@ def test_white_space_at_the_end_of_a_chunk(last):
     assert "" not in found.vocabulary.to_pylist() and found.offsets.tolist() == [0, 2, 2, 2 + len(last.split())]
     scores = toxicity._scores(toxicity.Network(2), texts)
     assert np.isfinite(scores).all()
+
+
+def test_finer_buckets_take_bands_that_others_have(spark):
+    """Nodes far from their pivot go to finer buckets by common bands alone, and still meet there."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    apart = [rng.integers(0, 2**62, near_dups.SIGNATURE_WORDS).tolist() for _ in range(40)]
+    rows = [(k, [7, *range(1000 * k + 100, 1000 * k + 143)], apart[k]) for k in range(40)]
+    rows += [(50 + k, [7, 8, 9, *range(90_000 + 100 * k, 90_000 + 100 * k + 41)], apart[1]) for k in range(2)]
+    nodes = spark.createDataFrame(rows, "node bigint, bands array<bigint>, signature array<bigint>")
+    sizes, plain = [], near_dups.buckets
+
+    def counted(keyed):
+        sizes.append(keyed.count())
+        return plain(keyed)
+
+    near_dups.buckets = counted
+    try:
+        found = {tuple(r) for r in near_dups.families(nodes, 0.55).collect()}
+    finally:
+        near_dups.buckets = plain
+    assert found == {(50, 50), (51, 50)} and sizes == [42 * 44, 2 * 2]
