@@ -45,7 +45,7 @@ SUCCESSOR_BITS = 32
 LOW = np.uint64((1 << SUCCESSOR_BITS) - 1)
 CHUNK_BYTES = 8 << 20
 #: Tokens for each shard.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_500_000
 #: Hash of the end token: a word that no text can hold.
 END = int(string_hashes(pa.array(["\n"]))[0])
 CODES = 255
@@ -109,32 +109,31 @@ class Trie:
         self.codes = [field(np.uint8, level.n) for level in levels]
 
     @staticmethod
-    def build(hashes: np.ndarray, counts: np.ndarray, contexts: np.ndarray, grams: np.ndarray,
-              totals: np.ndarray, order: int, prune: int, discount: float) -> np.ndarray:
+    def build(hashes: np.ndarray, counts: np.ndarray, contexts: np.ndarray, grams: np.ndarray, pairs: np.ndarray,
+              pair: np.ndarray, totals: np.ndarray, order: int, prune: int, discount: float) -> np.ndarray:
         """Array of a trie. ``contexts`` are ascending (word, word before it), ``grams`` ascending
-        (context, successor) with their counts; words are places in the ascending ``hashes``."""
+        (context, successor) with their counts in training, ``pairs`` ascending (word, successor) and ``pair``
+        that of each gram; words are places in the ascending ``hashes``."""
         known = np.flatnonzero(counts)  # the trie holds words of training alone
         number = np.full(len(hashes), -1)
         number[known] = np.arange(len(known))
         hashes, counts, n = hashes[known], counts[known], len(known)
-        learnt = np.flatnonzero(totals)
-        context, successor, totals = (grams[learnt] >> np.uint64(32)).astype(np.int64), grams[learnt] & LOW, totals[learnt]
         node = number[(contexts >> np.uint64(32)).astype(np.int64)]  # -1 only where nothing was learnt
+        context = (grams >> np.uint64(32)).astype(np.int64)
 
-        pairs, pair = np.unique(_joint(node[context], successor), return_inverse=True)
         pair_counts = np.bincount(pair, totals, len(pairs)).astype(np.int64)
-        word = (pairs >> np.uint64(SUCCESSOR_BITS)).astype(np.int64)
+        word = number[(pairs >> np.uint64(32)).astype(np.int64)]
         kept = pair_counts > prune
+        lost = (pair_counts > 0) & ~kept
         types = np.bincount(word[kept], minlength=n)
-        mass = (discount * types + np.bincount(word[~kept], pair_counts[~kept], n)) / np.maximum(1, counts)
-        pairs, word, pair_counts = pairs[kept], word[kept], pair_counts[kept]
+        mass = (discount * types + np.bincount(word[lost], pair_counts[lost], n)) / np.maximum(1, counts)
         place = np.cumsum(kept) - 1  # of each pair among those that are kept
+        pairs, word, pair_counts = pairs[kept], word[kept], pair_counts[kept]
         pointers = _pointers(types)
 
-        if order < 3:
-            totals = totals[:0]
-        deep = np.flatnonzero(totals > prune)  # so their pairs are kept too
-        whole = np.bincount(context[:len(totals)], totals, len(contexts))
+        # of grams that are kept the pairs are kept too
+        deep = np.flatnonzero(totals > prune) if order > 2 else np.zeros(0, np.int64)
+        whole = np.bincount(context, totals, len(contexts))
         gram_types = np.bincount(context[deep], minlength=len(contexts))
         stored = np.flatnonzero(gram_types)
         told = np.bincount(context[deep], totals[deep], len(contexts))
@@ -143,13 +142,11 @@ class Trie:
         at[stored] = np.arange(len(stored))
         rank = place[pair[deep]] - pointers[node[context[deep]]]
         rank_bits = int(types.max() if n else 0).bit_length()
-        third = np.unique(_joint(at[context[deep]], rank, rank_bits), return_index=True)
-        deep = deep[third[1]]
 
         parts = [np.array([hashes[0] if n else 0, rank_bits], np.uint64)]
-        for values in (hashes - parts[0][0], pointers, pairs,
+        for values in (hashes - parts[0][0], pointers, _joint(word, pairs & LOW),
                        _pointers(np.bincount(node[stored], minlength=n)), _joint(node[stored], contexts[stored] & LOW),
-                       _pointers(gram_types[stored]), third[0]):
+                       _pointers(gram_types[stored]), _joint(at[context[deep]], rank, rank_bits)):
             parts += EliasFano.encode(values).parts()
         values = (mass, (pair_counts - discount) / counts[word], left, (totals[deep] - discount) / whole[context[deep]])
         coded = [Codebook.make(v) for v in values]
@@ -184,12 +181,12 @@ class Trie:
         out[real[inside]] = at[inside]
         return out
 
-    def look_up(self, hashes: np.ndarray, contexts: np.ndarray, grams: np.ndarray) -> list[np.ndarray]:
+    def look_up(self, hashes: np.ndarray, contexts: np.ndarray, grams: np.ndarray, pairs: np.ndarray,
+                pair: np.ndarray) -> list[np.ndarray]:
         """Codes of words, of the pairs in grams, of contexts and of grams; laid out as for ``build``."""
         node = self.nodes(hashes)
         word = (contexts >> np.uint64(32)).astype(np.int64)
         context = (grams >> np.uint64(32)).astype(np.int64)
-        pairs, pair = np.unique(_joint(word[context], grams & LOW), return_inverse=True)
         owner = node[(pairs >> np.uint64(32)).astype(np.int64)]
         successor = self._children(self.successor_pointers, self.successors, owner, pairs & LOW)
         before = self._children(self.context_pointers, self.contexts, node[word], contexts & LOW) \
@@ -271,7 +268,7 @@ def _shard_bounds(n_shards: int) -> np.ndarray:
 SENT = ("shard int, batch bigint, words binary, counts binary, contexts binary, earlier binary, grams binary, "
         "successors binary, gram_counts binary")
 ANSWERS = ("batch bigint, shard int, word_counts binary, masses binary, pairs binary, contexts binary, grams binary, "
-           "books binary, n_tokens bigint, n_words bigint, trie binary")
+           "books binary, n_tokens bigint, n_words bigint")
 CODED = ("masses", "pairs", "contexts", "grams")
 
 
@@ -309,7 +306,7 @@ def _sent(tokens: DataFrame, n_shards: int, order: int) -> DataFrame:
     return tokens.mapInArrow(run, SENT)
 
 
-def _answers(sent: DataFrame, n_shards: int, order: int, prune: int, keep_tries: bool) -> DataFrame:
+def _answers(sent: DataFrame, n_shards: int, order: int, prune: int) -> DataFrame:
     """Every shard's trie, queried for every chunk that has words in it."""
 
     def answer(shard: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -327,10 +324,12 @@ def _answers(sent: DataFrame, n_shards: int, order: int, prune: int, keep_tries:
         grams, gram = np.unique(_joint(np.repeat(context, all_of("grams")[0]), successors), return_inverse=True)
         del words, earlier, successors
         totals = np.bincount(gram, all_of("gram_counts")[0], len(grams)).astype(np.int64)
-        memory = Trie.build(hashes, counts, contexts, grams, totals, order, prune, DISCOUNT)
+        owner = (contexts >> np.uint64(32))[(grams >> np.uint64(32)).astype(np.int64)]
+        pairs, pair = np.unique(_joint(owner, grams & LOW), return_inverse=True)
+        del owner
+        trie = Trie(mapped(Trie.build(hashes, counts, contexts, grams, pairs, pair, totals, order, prune, DISCOUNT)))
         del totals
-        trie = Trie(mapped(memory))
-        mass, pair, before, deep = trie.look_up(hashes, contexts, grams)
+        mass, pair, before, deep = trie.look_up(hashes, contexts, grams, pairs, pair)
         books = _packed(np.array(trie.books, np.float64))
         for k, row in enumerate(rows):
             w, c, g = (at[bounds[k]:bounds[k + 1]] for at, bounds in (
@@ -342,8 +341,7 @@ def _answers(sent: DataFrame, n_shards: int, order: int, prune: int, keep_tries:
                 **{name: pa.array([_packed(coded[name])], pa.binary()) for name in CODED},
                 "books": pa.array([books], pa.binary()),
                 "n_tokens": pa.array([int(counts.sum()) if k == 0 else 0], pa.int64()),
-                "n_words": pa.array([int(np.count_nonzero(counts)) if k == 0 else 0], pa.int64()),
-                "trie": pa.array([memory.tobytes() if keep_tries and k == 0 else None], pa.binary())})
+                "n_words": pa.array([int(np.count_nonzero(counts)) if k == 0 else 0], pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -378,7 +376,7 @@ def score_texts(docs: DataFrame, training, order: int = 2, prune: int = PRUNE) -
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     n_shards = max(1, math.ceil(total / SHARD_TOKENS))
     sent = _sent(tokens, n_shards, order)
-    answers = materialize(_answers(sent, n_shards, order, prune, keep_tries=True), "answers")
+    answers = materialize(_answers(sent, n_shards, order, prune), "answers")
     learnt, distinct = answers.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     learnt, distinct = learnt or 0, distinct or 0
 
