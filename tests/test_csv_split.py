@@ -95,3 +95,34 @@ def test_maps_of_lines(spark):
     assert states('""') == (False, True)
     assert states('a""') == (False, True)
     assert states('"a""') == (True, False)
+
+
+@pytest.mark.parametrize("size", [40, 100_000])
+def test_counts_of_records_move_no_text(spark, tmp_path, small_blocks, size):
+    for seed, line_end in ((1, "\n"), (2, "\r\n"), (3, "\n\n")):
+        (tmp_path / f"{seed}.csv").write_bytes(written(drawn(seed), line_end))
+    (tmp_path / "open.csv").write_bytes(b'a,b\n1,"never closed\n\n2,x\n')
+    (tmp_path / "empty.csv").write_bytes(b"\n\r\n\n")
+    small_blocks(size)
+    records = csv_split.csv_records(spark, str(tmp_path)).groupBy("file").count().collect()
+    counted = csv_split.record_counts(spark, str(tmp_path))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert {(r.file, r.n) for r in counted.collect()} == {(r.file, r["count"]) for r in records}
+    assert len(records) == 4
+    exchanged = [line for line in plan.splitlines() if "Window" in line or "Sort " in line]
+    assert exchanged and not any("text#" in line for line in exchanged)
+    assert plan.count("Scan text") == 1
+
+
+def test_rows_are_not_sorted_for_their_folders(spark, tmp_path):
+    """Files of up to OPEN_FILES folders are written side by side; the setting is as before afterwards."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    rows = spark.range(500, numPartitions=2).selectExpr("cast(1990 + id % 100 AS string) AS ano", "id AS k")
+    csv_files.write_csv_by_year(rows, str(tmp_path / "years"), ["ano", "k"])
+    assert spark.conf.get(key) == before
+    # the first folders' rows are as they came, one file for each task and folder
+    names = sorted(p.parent.name for p in (tmp_path / "years").rglob("*.csv"))
+    assert len(names) == 200 and len(set(names)) == 100
+    found = csv_files.csv_row_counts(spark, str(tmp_path / "years")).where("path LIKE '%.csv'").collect()
+    assert sum(r.row_count for r in found) == 500
