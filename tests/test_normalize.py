@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens import contract as C
 from ledgerlens.operators import classify, quality, ranking
-from ledgerlens.operators.numbering import number_rows
-from ledgerlens.plans.normalize import normalize
+from ledgerlens.operators.numbering import number_rows, number_spread
+from ledgerlens.plans.normalize import _numbered, normalize
 
 LINES = """
     a1 | 2023-06 | 31 | Berta Soto | TELEFONIA FIJA  | 4000
@@ -161,7 +161,7 @@ def test_gate(spark):
 
 @pytest.mark.parametrize("hot_rows", [0, 3, 100])
 def test_positions_within_groups(spark, hot_rows):
-    from ledgerlens.operators.numbering import number_rows
+    from ledgerlens.operators.numbering import number_rows, number_spread
 
     rows = [(None if k % 9 == 0 else f"g{k % 4}", (k * 37) % 101, k) for k in range(90)]
     frame = spark.createDataFrame(rows, "g string, v int, k int")
@@ -223,6 +223,67 @@ def test_many_duplicates_take_one_shuffle_of_rows(spark):
     assert flags[0] == flags[1] == flags[2]
 
 
+@pytest.mark.parametrize("hot", [10, 1000])
+def test_many_duplicates_get_flags_without_a_shuffle_of_rows(spark, hot):
+    """Rows that are numbered, or stored for the time, are flagged from a bitmap; the same rows as ever."""
+    rows = [(None if k % 17 == 0 else "" if k % 5 == 0 else "hot" if k % 2 else f"id{k % 23}", None if k % 41 == 0 else k // 3,
+             -k, "x" * 20, k * 40_000) for k in range(300)]
+    rows += [(f"alone{k}", 1, 100 + k, "y", 1 + k) for k in range(20)]
+    frame = spark.createDataFrame(rows, "source_id string, a int, b int, cell string, n bigint").repartition(3)
+    shuffled = classify.mark_duplicates(frame, order_by=["a", "b"], most=0, hot_rows=hot)
+    expected = sorted((r.b, r.is_duplicate) for r in shuffled.collect())
+    assert sum(flag for _, flag in expected) > 100
+    for options in ({"store": True}, {"row_id": "n"}):
+        marked = classify.mark_duplicates(frame, order_by=["a", "b"], most=0, hot_rows=hot, **options)
+        text = marked._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
+        assert marked.columns == shuffled.columns
+        assert sorted((r.b, r.is_duplicate) for r in marked.collect()) == expected
+
+
+def test_groups_take_names_without_a_shuffle(spark, expenses):
+    """Partial sums are the groups where no order decides; names of categories and entities come to them."""
+    rows = classify.classify_rows(expenses(LINES), order_by=["pos"])
+    groups = ranking.ranking_groups(rows, classify.name_catalogue(expenses(LINES)), order_by=["pos"])
+    text = groups._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
+    found = {(r.periodo, r.categoria_id, r.categoria_nombre, r.parlamentario_nombre, r.total_monto, r.registros)
+             for r in groups.collect()}
+    assert found == {("2023-06", "telefonia_fija", "Telefonia fija", "Berta Soto", 4350, 2),
+                     ("2023-07", "difusion", "Difusion", "Ciro Vega", 90, 2)}
+
+
+def test_cells_of_a_file_stay_behind_when_rows_are_numbered(spark, expenses):
+    rows = expenses(LINES).withColumns({
+        "fuente": F.when(F.col("pos") % 3 != 0, F.col("fuente")), "raw_file": F.lit(None).cast("string")})
+    numbered = _numbered(rows.withColumn("more", F.lit(1)), ["pos"])
+    cells = [c for c in rows.columns if c != "pos"]
+    assert sorted(numbered.columns) == sorted([*cells, "row_number"])
+    expected = [(k, *r) for k, r in enumerate(rows.orderBy("pos").select(*cells).collect(), 1)]
+    assert [tuple(r) for r in numbered.orderBy("row_number").select("row_number", *cells).collect()] == expected
+    stored = [f for f in numbered.inputFiles() if "/row_number-" in f]
+    assert stored and "raw_body_sha256" not in spark.read.parquet(*stored).columns
+
+
+def test_numbers_of_spread_groups_come_to_the_rows(spark):
+    frame = spark.range(400).selectExpr("id % 3 AS g", "id AS v", "'x' AS cell", "-id AS o")
+    found = number_spread(frame, ["o"], partition_by=["g"], name="n", keep=["v"])
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    places = {v: sum(1 for w in range(v, 400) if w % 3 == v % 3) for v in range(400)}
+    assert found.columns == ["v", "n"] and {r.v: r.n for r in found.collect()} == places
+    found = number_rows(frame, ["o"], partition_by=["g"], hot_rows=10, name="n", keep=["g", "v"])
+    assert found.columns == ["g", "v", "n"] and {r.v: r.n for r in found.collect()} == places
+
+
+def test_pages_are_read_once(spark):
+    rows = spark.createDataFrame([("2020-01", "a", 1, 3), ("2020-01", "a", 1, 3), ("2020-01", "", 2, None)],
+                                 "periodo string, source_id string, page_number int, declared_total int")
+    checked = quality.page_reconciliation(rows)
+    assert "LocalTableScan" not in checked._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in checked._jdf.queryExecution().executedPlan().toString()
+    assert [(r.found_rows, r.blank_ids, r.repeated_ids, r.repeated_examples) for r in checked.collect()] == [(3, 1, 1, "a")]
+
+
 def test_order_keys_only_where_the_order_decides(spark, expenses):
     """Sums by plain numbers alone, unless a month or a category is spelled in several ways."""
     plain = "a | 2022-01 | 1 | A | Agua | 5\nb | 2022-01 | 1 | A | Agua | 7\nc | 2022-02 | 2 | B | Luz | 1"
