@@ -25,6 +25,9 @@ QUERIES = {}
 SUMMARY_FILTERS = {
     "category_id": "promo", "period_from": "1996-03", "period_to": "2000-10", "search": "r#00"}
 ENTITY = "senado_unidad_7"
+#: Cells of an expense row that the ranking depends on.
+RANKED_COLUMNS = [
+    "source_id", "ano", "mes", "periodo", "unidad_ejecutora", "nombre_completo", "gastos_operacionales", "monto"]
 #: Pages of at most 500 items in one landed file.
 LANDED_PAGES = 64
 
@@ -44,8 +47,9 @@ def _names(spark, sf) -> DataFrame:
 
 def _groups(spark, sf) -> DataFrame:
     """The ranking table without its rank column, which the serving views drop."""
-    return ranking.ranking_groups(
-        _classified(spark, sf), _names(spark, sf), order_by=A.ORDER)
+    rows = A.expenses(spark, sf).select(*A.ORDER, *RANKED_COLUMNS)
+    rows = classify.classify_rows(rows, order_by=A.ORDER, store=True)
+    return ranking.ranking_groups(rows, _names(spark, sf), order_by=A.ORDER)
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
