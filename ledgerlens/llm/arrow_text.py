@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,6 +42,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
                 held, held_bytes = [], 0
     if held:
         yield _joined(held)
+    held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker waits for its next task beside others at work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
