@@ -6,7 +6,8 @@
    bucket of any size gives a pair per member. Packed signatures of the pair are compared by bit
    counts, corrected for the chance that differing minima agree in their low bits. Pairs that
    could be near the threshold tie nodes into families. Nodes far from their pivot meet again in
-   buckets of two bands: two sets of similarity 0.8 share about 90 of these, others of 0.5 one.
+   buckets of two bands: two sets of similarity 0.8 share about 90 of these, others of 0.5 one. Bands
+   whose nodes all have the same near pivot are left out of these.
 3. Members of a family are compared on their full sets: whatever lies within the threshold is
    linked, not just with the pivot. Families are dealt in blocks of bounded size, each pair of
    blocks to one task; inside, nodes close to a well connected one are linked first, and the rest
@@ -38,6 +39,8 @@ SIGNATURE_WORDS = -(-HASHES * BITS // 64)
 #: Families are made of pairs whose estimate is at most this far under the threshold: 7.8 standard
 #: deviations of the estimate at 0.8.
 MARGIN = 0.25
+#: Nodes of a bucket that make few finer keys, whether or not they are near each other.
+FEW = 2
 #: Bytes of text taken at a time.
 TEXT_BYTES = 8 << 20
 #: Nodes and bytes of sets in a block of a family.
@@ -148,21 +151,37 @@ def near_pivots(met: DataFrame, nodes: DataFrame, floor: float) -> DataFrame:
     return materialize(both.select("node", "pivot", (estimate("x", "y") >= floor).alias("near")), "pivots")
 
 
+def open_keys(met: DataFrame, judged: DataFrame) -> DataFrame:
+    """Keys (``key``) of the buckets that may hold nodes of different families.
+
+    A bucket all of whose nodes have the same least near pivot, or are that one, lies in one family, and
+    members of a family are compared with each other anyway. Buckets of FEW nodes are taken unseen.
+    """
+    homes = judged.where("near").groupBy("node").agg(F.min("pivot").alias("home"))
+    home = F.coalesce("home", "node")
+    keys = met.join(homes, "node", "left").groupBy("key").agg(
+        F.min(home).alias("low"), F.max(home).alias("high"), F.count(F.lit(1)).alias("n"))
+    return keys.where((F.col("low") != F.col("high")) | (F.col("n") <= FEW)).select("key")
+
+
 def families(nodes: DataFrame, floor: float) -> DataFrame:
     """node and family of nodes that may be near another one. ``nodes``: node, bands, signature.
 
     Nodes far from a bucket's pivot may be near each other: they meet again in finer buckets, by
-    the shared key together with each other band. A band that no other node has brings nobody
-    together, alone or with another one, so it is left out first.
+    the shared key together with each other band, each two bands once. Bands that ``open_keys`` leaves
+    out bring nobody together who is not yet, alone or with another one.
     """
     met = materialize(buckets(nodes.select("node", F.explode("bands").alias("key"))), "buckets")
     judged = near_pivots(met, nodes, floor)
-    common = met.groupBy("node").agg(F.collect_set("key").alias("bands"))  # at most BANDS of a node
+    common = met.join(open_keys(met, judged), "key").groupBy("node").agg(
+        F.collect_set("key").alias("bands"))  # at most BANDS of a node
     far = judged.where("NOT near").join(common, "node").join(
         common.select(F.col("node").alias("pivot"), F.col("bands").alias("pivot_bands")), "pivot")
-    far = far.select("node", "bands", F.explode(F.array_intersect("bands", "pivot_bands")).alias("shared"))
-    finer = far.select("node", F.explode(F.expr(
-        "transform(filter(bands, b -> b <> shared), b -> b ^ shared)")).alias("key")).distinct()
+    far = far.groupBy("node", "bands").agg(F.array_distinct(F.flatten(F.collect_list(
+        F.array_intersect("bands", "pivot_bands")))).alias("shared"))
+    finer = materialize(far.select("node", F.explode(F.expr(
+        "flatten(transform(shared, s -> transform("
+        "filter(bands, b -> s < b OR NOT array_contains(shared, b)), b -> b ^ s)))")).alias("key")), "finer")
     near = reduce(DataFrame.unionAll, [
         found.where("near").selectExpr("node AS a", "pivot AS b")
         for found in (judged, near_pivots(buckets(finer), nodes, floor))])

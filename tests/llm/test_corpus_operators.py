@@ -521,3 +521,44 @@ def test_finer_buckets_take_bands_that_others_have(spark):
     finally:
         near_dups.buckets = plain
     assert found == {(50, 50), (51, 50)} and sizes == [42 * 44, 2 * 2]
+
+
+def finer_keys(spark, rows, monkeypatch):
+    """Families of nodes, and the keys of their finer buckets as they come."""
+    nodes = spark.createDataFrame(rows, "node bigint, bands array<bigint>, signature array<bigint>")
+    keyed, plain = [], near_dups.buckets
+
+    def kept(frame):
+        keyed.append([tuple(r) for r in frame.collect()])
+        return plain(frame)
+
+    monkeypatch.setattr(near_dups, "buckets", kept)
+    found = dict(tuple(r) for r in near_dups.families(nodes, 0.55).collect())
+    return found, keyed[1]
+
+
+def test_nodes_of_one_family_make_no_finer_keys(spark, monkeypatch):
+    """A large group of near copies that shares a line with others, and two unlike groups in its buckets."""
+    rng = np.random.Generator(np.random.PCG64(6))
+    apart = [rng.integers(0, 2**62, near_dups.SIGNATURE_WORDS).tolist() for _ in range(5)]
+    own = list(range(100, 142))
+    rows = [(1, [7, 8, *range(1000, 1042)], apart[0])]
+    rows += [(k, [7, 8, *own], apart[1]) for k in range(10, 60)]
+    rows += [(k, [7, 9, *range(3000 + 100 * k, 3042 + 100 * k)], apart[2]) for k in (70, 71, 72)]
+    rows += [(2, [9, *range(2000, 2043)], apart[3])]
+    found, keyed = finer_keys(spark, rows, monkeypatch)
+    # all but the pivots 1 and 2 meet again by their common bands, and nobody by a band of one family alone
+    assert sorted(keyed) == sorted([(k, 7 ^ 8) for k in range(10, 60)] + [(k, 7 ^ 9) for k in (70, 71, 72)])
+    assert found == {**dict.fromkeys(range(10, 60), 10), **dict.fromkeys((70, 71, 72), 70)}
+
+
+def test_finer_keys_come_once(spark, monkeypatch):
+    """Two bands make one key of a node, however many far pivots have brought it there."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    apart = [rng.integers(0, 2**62, near_dups.SIGNATURE_WORDS).tolist() for _ in range(4)]
+    rows = [(1, [11, 12, 13], apart[0]), (2, [11, 14, 21], apart[1]), (3, [12, 14, 31], apart[2])]
+    rows += [(k, [11, 12, 13, 14], apart[3]) for k in (50, 51, 52)]
+    found, keyed = finer_keys(spark, rows, monkeypatch)
+    assert len(keyed) == len(set(keyed)) and {k for k in keyed if k[0] == 50} == {
+        (50, a ^ b) for a, b in ((11, 12), (11, 13), (11, 14), (12, 13), (12, 14), (13, 14))}
+    assert found == dict.fromkeys((50, 51, 52), 50)
