@@ -7,6 +7,8 @@ import numpy as np
 _BYTE_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 _BYTE_SELECT = np.array([[[i for i in range(8) if b >> i & 1] + [0] * 8][0][:8] for b in range(256)], np.uint8)
 U = np.uint64
+#: Places are read one by one where fewer than one in so many are asked for; else the whole sequence is.
+SPARSE = 8
 
 
 class EliasFano:
@@ -38,6 +40,8 @@ class EliasFano:
     def get(self, index: np.ndarray) -> np.ndarray:
         """Values at the places ``index``."""
         index = np.asarray(index, np.int64)
+        if self._many(index):
+            return self.all()[index]
         word = np.searchsorted(self.before, index, side="right") - 1
         rest = (index - self.before[word]).astype(np.int64)
         bits = self.high[word]
@@ -51,7 +55,20 @@ class EliasFano:
             bits = np.where(skip, bits >> U(8), bits)
             place = place + 8 * skip
         place = place + _BYTE_SELECT[(bits & U(255)).astype(np.int64), rest]
-        out = (place - index).astype(np.uint64) << U(self.low_bits)
+        return self._with_low((place - index).astype(np.uint64), index)
+
+    def all(self) -> np.ndarray:
+        """All values, in one pass over the bits."""
+        index = np.arange(self.n)
+        place = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little").view(bool))
+        return self._with_low((place - index).astype(np.uint64), index)
+
+    def _many(self, asked: np.ndarray) -> bool:
+        return len(asked) * SPARSE > self.n
+
+    def _with_low(self, high: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """Values of their high parts and places."""
+        out = high << U(self.low_bits)
         if self.low_bits:
             at = index * self.low_bits
             word, shift = at >> 6, (at & 63).astype(np.uint64)
@@ -64,6 +81,8 @@ class EliasFano:
     def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """First place in [begin, end) with a value of at least the wanted one; end if there is none."""
         low, high = np.array(begin, np.int64), np.array(end, np.int64)
+        if self._many(values):  # the sequence ascends, so a part's first place is the whole's, within the part
+            return np.maximum(low, np.minimum(high, np.searchsorted(self.all(), values)))
         live = np.flatnonzero(low < high)
         while len(live):
             middle = (low[live] + high[live]) >> 1

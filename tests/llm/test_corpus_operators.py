@@ -562,3 +562,25 @@ def test_finer_keys_come_once(spark, monkeypatch):
     assert len(keyed) == len(set(keyed)) and {k for k in keyed if k[0] == 50} == {
         (50, a ^ b) for a, b in ((11, 12), (11, 13), (11, 14), (12, 13), (12, 14), (13, 14))}
     assert found == dict.fromkeys((50, 51, 52), 50)
+
+
+def test_many_places_are_read_in_one_pass(monkeypatch):
+    """Few places and many give the same values; many take no search step by step."""
+    draw = np.random.default_rng(11)
+    for top in (3, 5000, 2**62):
+        values = np.sort(draw.integers(0, top, 2000).astype(np.uint64))
+        coded = EliasFano.encode(values)
+        index = draw.integers(0, 2000, 900)
+        wanted = draw.integers(0, top, 900).astype(np.uint64)
+        begin = draw.integers(0, 2000, 900)
+        end = np.maximum(begin, draw.integers(0, 2001, 900))
+        few = [np.concatenate([f(slice(k, k + 90)) for k in range(0, 900, 90)]) for f in (
+            lambda k: coded.get(index[k]), lambda k: coded.find(wanted[k], begin[k], end[k]))]
+        brute = [b + np.searchsorted(values[b:e], w) for b, e, w in zip(begin, end, wanted, strict=True)]
+        assert (few[0] == values[index]).all() and (few[1] == brute).all()
+        assert (coded.all() == values).all() and (coded.get(index) == values[index]).all()
+        with monkeypatch.context() as steps:
+            steps.setattr(EliasFano, "get", lambda *_: pytest.fail("searched step by step"))
+            assert (coded.find(wanted, begin, end) == brute).all()
+    none = EliasFano.encode(np.zeros(0, np.uint64))
+    assert none.find(np.ones(3, np.uint64), np.zeros(3), np.zeros(3)).tolist() == [0, 0, 0] and len(none.all()) == 0
