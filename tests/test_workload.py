@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from ledgerlens.operators import classify
 from workload import facade as A
 from workload.oracles import ORACLES
 from workload.queries import QUERIES
@@ -83,3 +84,46 @@ def test_plans(spark):
         assert "CartesianProduct" not in text and "Python" not in text
         assert "NestedLoop" not in text
     assert A.ORDER[0] in plan(QUERIES["row_numbers"](spark, SF))
+
+
+def _twice_in_files(spark, folder):
+    """Line items in several files, with ids, whole rows and parts that come more than once, and nulls."""
+    lines = [
+        "CAST(if(id % 31 = 0, null, id % 40) AS bigint) AS l_orderkey",
+        "CAST(if(id % 37 = 0, null, id % 7) AS bigint) AS l_partkey", "CAST(id % 11 AS bigint) AS l_suppkey",
+        "CAST(1 + id % 5 AS int) AS l_linenumber", "CAST(1 + id % 8 AS double) AS l_quantity",
+        "CAST(if(id % 29 = 0, null, 100 - id % 90) AS double) AS l_extendedprice",
+        "if(id % 3 = 0, 'R', 'N') AS l_returnflag",
+        "timestamp'1996-01-01' + make_interval(0, 0, 0, int(id % 300)) AS l_shipdate"]
+    rows = spark.range(400).selectExpr(*lines)
+    rows.unionAll(rows.limit(60)).repartition(5).write.parquet(f"{folder}/lineitem.parquet")
+    parts = spark.sql("SELECT * FROM VALUES (1L, 'SMALL'), (1L, 'LARGE'), (2L, 'PROMO') t(p_partkey, p_type)")
+    parts.write.parquet(f"{folder}/part.parquet")
+    spark.range(9).selectExpr("id AS s_suppkey", "concat('Supplier#', id) AS s_name").write.parquet(f"{folder}/supplier.parquet")
+    return str(folder)
+
+
+def test_lines_have_numbers_of_their_own_at_every_reading(spark, tmp_path):
+    lines = A.numbered_lines(spark, _twice_in_files(spark, tmp_path))
+    assert sorted(r[0] for r in lines.select(A.LINE_ID).collect()) == list(range(460))
+    first, again = ({r[A.LINE_ID]: tuple(r) for r in d.collect()} for d in (lines, lines.repartition(3)))
+    assert first == again
+
+
+@pytest.mark.parametrize("name", ["problem_examples", "classified_rows"])
+def test_many_repeated_ids_are_flagged_without_storing_rows(spark, tmp_path, monkeypatch, name):
+    """The rows are as where few ids repeat, are stored nowhere, and ids are read without the parts."""
+    sf = _twice_in_files(spark, tmp_path)
+    few = sorted(map(repr, QUERIES[name](spark, sf).collect()))
+    kept, plans = classify.materialize, {}
+
+    def seen(df, what="step"):
+        plans[what] = plan(df)
+        return kept(df, what)
+
+    monkeypatch.setattr(classify, "materialize", seen)
+    monkeypatch.setitem(classify.mark_duplicates.__kwdefaults__, "most", 0)
+    many = sorted(map(repr, QUERIES[name](spark, sf).collect()))
+    assert many == few and any("duplicado" in r for r in many)
+    assert "rows" not in plans and "bits" in plans
+    assert not any("p_partkey" in text for text in plans.values())
