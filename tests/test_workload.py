@@ -6,6 +6,7 @@ import pytest
 from ledgerlens.operators import classify
 from workload import facade as A
 from workload.oracles import ORACLES
+from workload import queries as Q
 from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -127,3 +128,11 @@ def test_many_repeated_ids_are_flagged_without_storing_rows(spark, tmp_path, mon
     assert many == few and any("duplicado" in r for r in many)
     assert "rows" not in plans and "bits" in plans
     assert not any("p_partkey" in text for text in plans.values())
+
+
+def test_landed_pages_are_packed(spark):
+    """Pages name every field of every item: what lies on disk is a small part of their text."""
+    landing = Q._land_envelopes(spark, SF)
+    on_disk = spark.read.format("binaryFile").load(landing).selectExpr("sum(length) AS n").first().n
+    text = spark.read.text(landing).selectExpr("sum(octet_length(value)) AS n").first().n
+    assert 0 < on_disk < text / 4
