@@ -126,3 +126,27 @@ def test_rows_are_not_sorted_for_their_folders(spark, tmp_path):
     assert len(names) == 200 and len(set(names)) == 100
     found = csv_files.csv_row_counts(spark, str(tmp_path / "years")).where("path LIKE '%.csv'").collect()
     assert sum(r.row_count for r in found) == 500
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_only_blocks_with_line_breaks_in_cells_are_put_in_order(spark, tmp_path, monkeypatch, broken):
+    """Text of files without such breaks is neither stored nor shuffled; with one, its file's is."""
+    rows = {name: [[f"{name}{k}", 'says "x"', "a,b"] for k in range(20)] for name in "ab"}
+    if broken:
+        rows["b"][7][1] = "two\nlines"
+    for name, own in rows.items():
+        (tmp_path / f"{name}.csv").write_bytes(b"\n" + written([["id", "t", "u"], *own]))
+    kept, stored = csv_split.materialize, {}
+
+    def seen(df, what="step"):
+        stored[what] = kept(df, what)
+        return stored[what]
+
+    monkeypatch.setattr(csv_split, "materialize", seen)
+    found = csv_files.read_csv(spark, str(tmp_path))
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(list, found.collect())) == sorted(rows["a"] + rows["b"])
+    assert "Exchange hashpartitioning" not in text
+    assert ("records" in stored) == broken
+    if broken:
+        assert {r.file.rsplit("/", 1)[1] for r in stored["records"].collect()} == {"b.csv"}
