@@ -136,3 +136,10 @@ def test_landed_pages_are_packed(spark):
     on_disk = spark.read.format("binaryFile").load(landing).selectExpr("sum(length) AS n").first().n
     text = spark.read.text(landing).selectExpr("sum(octet_length(value)) AS n").first().n
     assert 0 < on_disk < text / 4
+
+
+def test_rule_counts_unfold_no_row(spark):
+    """Rules of millions of rows are counted in one aggregate; what is unfolded is one row of counts."""
+    text = plan(QUERIES["fact_rule_violations"](spark, SF))
+    assert "Generate" in text and text.index("Generate") < text.index("HashAggregate")
+    assert "Exchange hashpartitioning" not in text
